@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from caudal.operators.small import join_small
 
 
-def rates_as_of(fx: DataFrame, cutoff: Column, target: str = "USD") -> DataFrame:
-    """Latest rate per currency on or before ``cutoff``: (currency, to_usd, fx_date).
+def rates_as_of(fx: DataFrame, cutoff: Column | None = None, target: str = "USD") -> DataFrame:
+    """Latest rate per currency, on or before ``cutoff`` if given: (currency, to_usd, fx_date).
 
     The target currency itself has rate 1 and no date.
     """
+    if cutoff is not None:
+        fx = fx.filter(F.col("date") <= cutoff)
     latest = (
-        fx.filter((F.col("target_currency") == target) & (F.col("date") <= cutoff))
+        fx.filter(F.col("target_currency") == target)
         .groupBy(F.col("source_currency").alias("currency"))
         .agg(F.max_by("exchange_rate", "date").alias("to_usd"), F.max("date").alias("fx_date"))
     )
@@ -45,12 +47,10 @@ def convert_on_date(
         F.col("exchange_rate").alias("_rate"),
     )
     if clamp is None:
-        # an aggregate without groups is one row
-        df = df.crossJoin(F.broadcast(fx.agg(F.max("date").alias("_last_day"))))
-        clamp = F.col("_last_day")
+        clamp = fx.agg(F.max("date")).scalar()
     keyed = df.withColumns({"_ccy": F.col(currency), "_day": F.least(on_date, clamp)})
     joined = join_small(keyed, rates, ["_ccy", "_day"])
     return joined.withColumns({
         out: F.when(F.col(currency) == target, F.col(amount)).otherwise(F.col(amount) * F.col("_rate"))
         for amount, out in amounts.items()
-    }).drop("_ccy", "_day", "_rate", "_last_day")
+    }).drop("_ccy", "_day", "_rate")

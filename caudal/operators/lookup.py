@@ -32,13 +32,15 @@ def first_covering(
     take: Sequence[str],
     group: str | None = None,
     out: str = "_match",
+    checked: bool = False,
 ) -> DataFrame:
     """Add struct ``out``: the first range in ``order`` whose ``upper`` bound is >= ``value``.
 
-    NULL when none covers the value.  ``group`` names a column both sides share.
+    NULL when none covers the value.  ``group`` names a column both sides share;
+    ``checked`` says that the size of ``ranges`` is known to be a policy table's.
     """
     entry = F.struct(order, *[c for c in dict.fromkeys([upper, *take]) if c != order])
-    rows = require_policy_size(ranges)
+    rows = ranges if checked else require_policy_size(ranges)
     rows = rows.groupBy(group) if group else rows.groupBy()
     arrays = F.broadcast(rows.agg(F.sort_array(F.collect_list(entry)).alias("_ranges")))
     joined = df.join(arrays, group, "left") if group else df.crossJoin(arrays)
@@ -46,10 +48,13 @@ def first_covering(
     return joined.withColumn(out, match).drop("_ranges")
 
 
-def band_of(df: DataFrame, bands: DataFrame, value: Column, floor: str, out: str = "_band") -> DataFrame:
+def band_of(
+    df: DataFrame, bands: DataFrame, value: Column, floor: str,
+    out: str = "_band", checked: bool = False,
+) -> DataFrame:
     """Add struct ``out``: the band with the highest ``floor`` <= ``value``; NULL for no value."""
     entry = F.struct(floor, *[c for c in bands.columns if c != floor])
-    arrays = require_policy_size(bands).agg(
+    arrays = (bands if checked else require_policy_size(bands)).agg(
         F.sort_array(F.collect_list(entry), asc=False).alias("_bands")
     )
     match = F.try_element_at(F.filter("_bands", lambda b: b[floor] <= value), F.lit(1))

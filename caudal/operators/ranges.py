@@ -23,18 +23,26 @@ HOT_ROWS = 1_000_000
 _STRIDE = 64
 
 
-def cuts(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per large key: ``_cuts``, the inner borders of its ranges in ``order``."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = min(4 * partitions, 10_000)
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys that are too large for one task, and into how many ``_pieces`` to cut them."""
+    partitions = _partitions(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     limit = counts.agg(
         F.greatest(F.lit(float(hot_rows)), F.sum("_n") / (4 * partitions)).alias("_limit")
     )
-    large = (
-        counts.join(F.broadcast(limit), F.col("_n") > F.col("_limit"))
-        .select(*keys, F.least(F.ceil(F.col("_n") / F.col("_limit")), F.lit(steps)).alias("_pieces"))
+    return counts.join(F.broadcast(limit), F.col("_n") > F.col("_limit")).select(
+        *keys, F.ceil(F.col("_n") / F.col("_limit")).alias("_pieces")
     )
+
+
+def cuts(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per large key: ``_cuts``, the inner borders of its ranges in ``order``."""
+    steps = min(4 * _partitions(df), 10_000)
+    large = hot_keys(df, keys, hot_rows).withColumn("_pieces", F.least("_pieces", F.lit(steps)))
     grid = F.percentile_approx(order, [i / steps for i in range(1, steps)], 4 * steps)
     picked = F.transform(
         F.sequence(F.lit(1), F.col("_pieces").cast("int") - 1),

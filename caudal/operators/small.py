@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caudal.operators.ranges import HOT_ROWS, hot_keys
+
 BROADCAST_ROWS = 200_000
 SALTS = 64
 
@@ -36,8 +38,24 @@ def join_small(
     on: Sequence[str],
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Broadcast ``right`` if its measured size allows it, else a salted shuffle join."""
-    if fits_broadcast(right, max_rows):
+    """Broadcast ``right`` if its measured size allows it, else a salted shuffle join.
+
+    ``small`` passes on an earlier measurement.
+    """
+    if fits_broadcast(right, max_rows) if small is None else small:
         return left.join(F.broadcast(right), list(on), how)
     return salted_join(left, right, on, how)
+
+
+def unique_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join to a side that is unique on ``on``, when the left side may have very frequent keys.
+
+    Rows of frequent keys stay where they are and meet the few matching right
+    rows by broadcast; all others take the shuffle join.
+    """
+    frequent = hot_keys(left, on, hot_rows).select(*on)  # bounded, see operators.ranges
+    few = F.broadcast(right.join(F.broadcast(frequent), list(on), "left_semi"))
+    rest = left.join(F.broadcast(frequent), list(on), "left_anti")
+    return left.join(few, list(on)).unionByName(rest.join(right, list(on)))

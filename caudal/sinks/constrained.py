@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.operators.dedup import latest_by_key
+from caudal.session import checkpointed
 from caudal.sinks.tables import append, read_if_exists
 
 
@@ -67,6 +68,6 @@ def validated_append(
     """
     existing = read_if_exists(df.sparkSession, target)
     accepted, refused = validate(df, existing, pk, checks, required)
-    refused = refused.checkpoint(eager=True)
+    refused = checkpointed(refused)
     append(accepted, target)
     return refused

@@ -36,6 +36,7 @@ def read_history(spark: SparkSession, target: str, before: int | None = None) ->
         return None
     if before is not None:
         commits = commits.filter(F.col("batch") < before)
+        history = history.filter(F.col("batch") < before)
     # one row per bucket
     newest = commits.groupBy("bucket").agg(F.max("batch").alias("batch"))
     return history.join(F.broadcast(newest), ["batch", "bucket"], "left_semi").drop("batch")
