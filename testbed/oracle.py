@@ -129,9 +129,9 @@ CTE["coded"] = """
     LEFT JOIN fx_now x ON x.ccy = p.currency"""
 CTE["owed"] = f"""
     SELECT k.*, CASE
-        WHEN product_status = 'Active' AND product_code = 'CC'
+        WHEN product_status = 'Active' AND k.product_code = 'CC'
           THEN {installment('greatest(coalesce(balance_usd, 0e0), 0e0)', 'coalesce(interest_rate, mid_rate)', '60')}
-        WHEN product_status = 'Active' AND product_code IN ('PL', 'MG') AND g.term_months IS NOT NULL
+        WHEN product_status = 'Active' AND k.product_code IN ('PL', 'MG') AND g.term_months IS NOT NULL
           THEN {installment('coalesce(limit_usd, balance_usd)', 'coalesce(interest_rate, g.reference_rate_pct)', 'g.term_months')}
       END AS owed_usd
     FROM coded k LEFT JOIN ref_term_grid g ON g.product_code = k.product_code AND g.term_months = (

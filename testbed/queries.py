@@ -128,10 +128,10 @@ def _(spark, sf):
 
 
 @case("null_key_drop", query(
-    "SELECT transaction_id, product_id, amount FROM raw_transactions WHERE transaction_id IS NOT NULL AND customer_id IS NOT NULL"))
+    "SELECT transaction_id, product_id, CAST(amount AS DOUBLE) AS amount FROM raw_transactions WHERE transaction_id IS NOT NULL AND customer_id IS NOT NULL"))
 def _(spark, sf):
     rows = not_null(bronze(spark, sf, "transactions"), ["transaction_id", "customer_id"])
-    return rows.select("transaction_id", "product_id", "amount")
+    return rows.select("transaction_id", "product_id", F.col("amount").cast("double").alias("amount"))
 
 
 @case("dedup_latest_simple", """
@@ -892,19 +892,22 @@ def _(spark, sf):
     done_c, done_t = silver(complaints, "complaints"), silver(transactions, "transactions")
 
     def outcome(name: str, df: DataFrame, key: str, wanted, detail) -> DataFrame:
-        return df.filter(F.col(key).eqNullSafe(wanted)).agg(
-            F.lit(name).alias("case_name"), F.max(wanted).alias("record_key"),
-            F.count(F.lit(1)).alias("silver_rows"), detail.cast("string").alias("detail"))
+        found = df.filter(F.col(key).eqNullSafe(wanted)).agg(
+            F.count(F.lit(1)).alias("silver_rows"),
+            F.max("status" if name == "late_status_update" else F.lit(None)).alias("_status"),
+            (F.max(F.to_date("creation_date")) if name == "late_arrival" else F.lit(None)).alias("_day"))
+        return found.select(F.lit(name).alias("case_name"), wanted.alias("record_key"), "silver_rows",
+                            detail.cast("string").alias("detail"))
 
     open_id = before_c.filter("status = 'Open'").agg(F.min("complaint_id")).scalar()
     first_id = before_t.agg(F.min("transaction_id")).scalar()
-    rescued = F.max(transactions.agg(F.count("_rescued_data")).scalar())
-    keyless = F.max(transactions.agg(F.count_if(F.col("transaction_id").isNull())).scalar())
+    rescued = transactions.agg(F.count("_rescued_data")).scalar()
+    keyless = transactions.agg(F.count_if(F.col("transaction_id").isNull())).scalar()
     nothing = F.lit(None).cast("string")
     rows = [
-        outcome("late_status_update", done_c, "complaint_id", open_id, F.max("status")),
+        outcome("late_status_update", done_c, "complaint_id", open_id, F.col("_status")),
         outcome("exact_duplicate", done_t, "transaction_id", first_id, nothing),
-        outcome("late_arrival", done_c, "complaint_id", F.lit("FIXTURE-LATE-0001"), F.max(F.to_date("creation_date"))),
+        outcome("late_arrival", done_c, "complaint_id", F.lit("FIXTURE-LATE-0001"), F.col("_day")),
         outcome("schema_change", done_t, "transaction_id", F.lit("FIXTURE-RESCUED-0001"), rescued),
         outcome("null_key", done_t, "transaction_id", nothing, keyless),
     ]

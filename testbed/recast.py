@@ -93,7 +93,7 @@ RAW: dict[str, str] = {
           p_name || ' for ' || p_brand AS description,
           CAST(DATE '2025-01-01' + CAST(p_size AS INT) AS STRING) AS start_date,
           CAST(DATE '2025-03-01' + CAST(p_size AS INT) AS STRING) AS end_date,
-          {_text('p_retailprice * 11')} AS budget, {_text('p_size / 173.0')} AS expected_conversion_rate,
+          {_text('p_retailprice * 11')} AS budget, {_text('p_size / 1.73e2')} AS expected_conversion_rate,
           {_pick('p_partkey', 'Premium', 'Plus', 'Basic', 'Student')} AS target_segment,
           {_pick('p_partkey', 'México', 'Colombia', 'Argentina')} AS target_country,
           {_pick('p_partkey', 'CC', 'PL', 'MG')} AS promoted_product, {_CLEAN}
@@ -130,7 +130,7 @@ RAW: dict[str, str] = {
           'Case, with "quotes" ' || {_text('event_id')} AS description,
           CASE WHEN event_type <> 'view' THEN {_text('value * 1.0137e1')} END AS claimed_amount,
           {_pick('event_id', 'MXN', 'COP', 'ARS', 'USD', 'MXN')} AS currency,
-          {_pick('event_id + user_id', 'Low', 'Medium', 'High', 'Low', 'Medium', 'Low', 'Critical', 'Low', 'Medium')} AS priority,
+          {_pick('(event_id + user_id)', 'Low', 'Medium', 'High', 'Low', 'Medium', 'Low', 'Critical', 'Low', 'Medium')} AS priority,
           CASE WHEN d = 2 THEN 'Resolved' WHEN event_type = 'view' THEN 'Open' WHEN event_type = 'error' THEN 'Escalated'
                WHEN event_type = 'click' THEN 'In Process' WHEN event_type = 'signup' THEN 'Closed' ELSE 'Rejected' END AS status,
           'A' || {_text('event_id % 60')} AS assigned_agent_id,
