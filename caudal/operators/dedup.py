@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,26 +15,20 @@ def not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def latest_by_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    tie_break: Sequence[str] | None = None,
-) -> DataFrame:
+def latest_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The row with the greatest ``order_by`` values per key, rows with a NULL key left out.
 
     Ties are broken by the greatest remaining values, column by column, so the
-    result does not depend on arrival order.  ``row_number() = 1`` is kept
-    literally: Spark then plans a group limit on both sides of the shuffle, so
-    each task sends at most one row per key however often the key occurs.
+    result does not depend on arrival order; NULL is the smallest value.  The
+    maximum of the row as a struct is an aggregate: every task sends at most
+    one row per key into the shuffle, however often the key occurs.
     """
-    if tie_break is None:
-        tie_break = [c for c in df.columns if c not in keys and c not in order_by]
-    window = Window.partitionBy(*keys).orderBy(
-        *[F.col(c).desc_nulls_last() for c in (*order_by, *tie_break)] or [F.lit(1)]
+    rest = [c for c in df.columns if c not in keys and c not in order_by]
+    row = F.struct(*order_by, *rest)
+    return (
+        not_null(df, keys).groupBy(*keys).agg(F.max(row).alias("_row"))
+        .select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
     )
-    ranked = not_null(df, keys).withColumn("_row", F.row_number().over(window))
-    return ranked.filter(F.col("_row") == 1).drop("_row")
 
 
 def content_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

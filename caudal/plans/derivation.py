@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from caudal.operators.fx import rates_as_of
 from caudal.operators.quantiles import exact_quantiles
-from caudal.operators.small import fits_broadcast, join_small, unique_join
+from caudal.operators.small import join_small, unique_join
 from caudal.plans.policy import CARD_TIERS, CARD_TIERS_SCHEMA, Policy
 from caudal.plans.profile import local_currency
+from caudal.session import checkpointed
 
 
 def _active_credit(products: DataFrame, fx: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
@@ -33,6 +34,7 @@ def observed_catalog(
         active.select("customer_id", "product_type", "currency", "interest_rate", "amount_usd"),
         home, ["customer_id"],
     ).withColumn("local_currency", local_currency(F.col("country"))).filter("local_currency IS NOT NULL")
+    held = checkpointed(held)  # read by several aggregates below
     group = ["country", "product_type"]
     counts = held.groupBy(*group, "local_currency").agg(
         F.count(F.lit(1)).alias("active_products"),
@@ -67,6 +69,7 @@ def term_grid(products: DataFrame, fx: DataFrame, policy: Policy) -> DataFrame:
     slices of the observed amounts; a tier takes its slice of the limits.
     """
     active, _ = _active_credit(products, fx, policy)
+    active = checkpointed(active.select("product_type", "interest_rate", "amount_usd"))
     percentiles = [i / 100 for i in range(101)]
     observed = exact_quantiles(active, ["product_type"], "interest_rate", percentiles, "_rates").join(
         exact_quantiles(active, ["product_type"], "amount_usd", percentiles, "_amounts"), "product_type"

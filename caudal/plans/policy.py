@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,15 +144,25 @@ class Policy:
         return F.lit(self.as_of_date)
 
 
+def _pinned(name: str, table: DataFrame) -> DataFrame:
+    """The table as a constant of the plan; one with more rows than a policy can have is refused."""
+    rows = table.drop("_loaded_at").limit(POLICY_ROWS + 1).toArrow()
+    if rows.num_rows > POLICY_ROWS:
+        raise ValueError(f"{name} has more than {POLICY_ROWS} rows")
+    pinned = table.sparkSession.createDataFrame(rows, schema=table.drop("_loaded_at").schema)
+    return pinned.withColumn("_loaded_at", F.current_timestamp())
+
+
 def resolve_policy(tables: dict[str, DataFrame], as_of: str = "") -> Policy:
-    """Check the tables' size and read the parameters; a valid ``as_of`` replaces the cutoff date."""
-    sizes = [t.limit(POLICY_ROWS + 1).agg(F.count(F.lit(1)).alias("n")) for t in tables.values()]
-    if reduce(DataFrame.union, sizes).agg(F.max("n")).first()[0] > POLICY_ROWS:
-        raise ValueError(f"a policy table has more than {POLICY_ROWS} rows")
+    """Pin the policy tables of a run and read the parameters (one row).
+
+    A valid ``as_of`` replaces the policy's cutoff date.
+    """
+    pinned = {name: _pinned(name, table) for name, table in tables.items()}
     wanted = F.lit(as_of or None).cast("string").try_cast("date")
     row = (
-        params_row(tables["ref_policy_params"], PARAM_TYPES)
+        params_row(pinned["ref_policy_params"], PARAM_TYPES)
         .withColumn("as_of_date", F.coalesce(wanted, "as_of_date"))
         .first()
     )
-    return Policy(tables=tables, **row.asDict())
+    return Policy(tables=pinned, **row.asDict())

@@ -27,7 +27,7 @@ from caudal.plans.profile import (
 from caudal.plans.silver import silver, typed_rows
 from caudal.quality.gate import gate_status
 from caudal.quality.metrics import gold_metrics, load_report, source_metrics
-from caudal.session import scratch_path
+from caudal.session import checkpointed, scratch_path
 from caudal.sinks.constrained import validate
 from caudal.sinks.publish import publish, read_manifest
 from caudal.sinks.tables import add_by_name
@@ -140,7 +140,7 @@ def _(spark, sf):
 def _(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice")
-    return latest_by_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], [])
+    return latest_by_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
 @case("dedup_latest_composite", f"""
@@ -598,21 +598,11 @@ def _(spark, sf):
 
 # --- accepted offers ---------------------------------------------------------
 
-_ACCEPTED = """
-    SELECT 'F' || row_number() OVER (ORDER BY customer_id, option_code, term_months) % 500 AS offer_id, *,
-      offer_max_amount_usd * (CASE WHEN term_months >= 240 THEN 2e0 WHEN term_months = 36 THEN -1e0 ELSE 9e-1 END) AS amt
-    FROM options JOIN (SELECT customer_id, income_used_usd, current_installments_usd AS debt_now, open_complaints AS oc FROM profile) USING (customer_id)
-    WHERE is_available"""
-_JUDGED = f"""
-    SELECT *, {installment('amt', 'offer_rate_pct', 'term_months')} AS inst_now,
-      (debt_now + {installment('amt', 'offer_rate_pct', 'term_months')}) / income_used_usd AS dti FROM ({_ACCEPTED})"""
-
-
 def _acceptances(spark, sf):
     """One acceptance per available option; amounts too high or negative for some terms, shared ids."""
     policy = policy_of(spark)
     profile = offers.undeclared(profile_of(spark, sf))
-    options = offer_options(profile, policy, offers.CARRY)
+    options = checkpointed(offer_options(profile, policy, offers.CARRY))
     factor = F.when(F.col("term_months") >= 240, 2.0).when(F.col("term_months") == 36, -1.0).otherwise(0.9)
     taken = options.filter("is_available").select(
         F.concat_ws("-", F.lit("F"), "product_code", "term_months", F.substring("customer_id", 1, 3)).alias("offer_id"),
@@ -830,13 +820,13 @@ _GOLD_SQL = """
 @case("gold_metrics", query(_GOLD_SQL))
 def _(spark, sf):
     policy, inputs = policy_of(spark), gold_inputs(spark, sf)
-    profile, fx = credit_profile(inputs, policy), inputs["daily_exchange_rates"]
+    profile, fx = checkpointed(credit_profile(inputs, policy)), inputs["daily_exchange_rates"]
     sums = {
         "customer_products_summary": summaries.products_summary(inputs["products"], fx, policy),
         "customer_complaints_summary": summaries.complaints_summary(inputs["complaints"], fx),
         "customer_cashflow_summary": summaries.cashflow_summary(inputs["transactions"], fx),
     }
-    return gold_metrics(profile, offer_options(profile, policy), sums, inputs["customers"], policy)
+    return gold_metrics(profile, checkpointed(offer_options(profile, policy)), sums, inputs["customers"], policy)
 
 
 @case("export_manifest", query(f"""
@@ -846,7 +836,7 @@ def _(spark, sf):
       UNION ALL SELECT 'ref_term_grid', count(*) FROM ref_term_grid)"""))
 def _(spark, sf):
     policy, path = policy_of(spark), scratch_path(spark, "export")
-    profile = profile_of(spark, sf)
+    profile = checkpointed(profile_of(spark, sf))
     publish(spark, {
         "customer_credit_profile": profile,
         "customer_credit_offer_options": offer_options(profile, policy),

@@ -263,9 +263,18 @@ def ctes(dialect: str, *names: str) -> list[str]:
     return [f"{n} AS ({RAW[n].replace('{days}', _DAYS[dialect])})" for n in view_list(*names)]
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; a table of fewer files than cores is spread, since one file here is one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("lineitem", "orders", "events") and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A recast table in Spark."""
     for table in TABLES:
         if table in RAW[name] or any(table in RAW[n] for n in view_list(name)):
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+            _table(spark, sf_dir, table).createOrReplaceTempView(table)
     return spark.sql(f"WITH {', '.join(ctes('spark', name))} SELECT * FROM {name}")
