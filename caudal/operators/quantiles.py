@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.operators.ranges import HOT_ROWS, cuts, with_ranges
+from caudal.session import checkpointed
 
 
 def exact_quantiles(
@@ -29,23 +30,29 @@ def exact_quantiles(
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
+    counted = checkpointed(counted)  # read once for the cuts and twice for the ranks
     ranged = with_ranges(counted, group, "_v", cuts(counted, group, "_v", hot_rows))
     over_ranges = Window.partitionBy(*group).orderBy("_range")
+    places = F.lit([float(s) for s in shares])
+    last = F.col("_n") - 1
     # one row per range of a group
-    offsets = ranged.groupBy(*group, "_range").agg(F.sum("_c").alias("_size")).withColumns({
-        "_offset": F.sum("_size").over(over_ranges) - F.col("_size"),
-        "_n": F.sum("_size").over(Window.partitionBy(*group)),
-    })
+    offsets = (
+        ranged.groupBy(*group, "_range").agg(F.sum("_c").alias("_size"))
+        .withColumns({
+            "_offset": F.sum("_size").over(over_ranges) - F.col("_size"),
+            "_n": F.sum("_size").over(Window.partitionBy(*group)),
+        })
+        .withColumn("_wanted", F.array_distinct(F.concat(
+            F.transform(places, lambda s: F.floor(s * last).cast("long")),
+            F.transform(places, lambda s: F.ceil(s * last).cast("long")),
+        )))
+    )
     in_range = Window.partitionBy(*group, "_range").orderBy("_v")
-    position = [F.lit(float(s)) * (F.col("_n") - 1) for s in shares]
-    wanted = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor(p).cast("long"), F.ceil(p).cast("long")) for p in position
-    ])))
     ranked = (
         ranged.join(offsets, [*group, "_range"])
         .withColumn("_end", F.col("_offset") + F.sum("_c").over(in_range))
         .withColumn("_hits", F.filter(
-            wanted, lambda i: (i < F.col("_end")) & (i >= F.col("_end") - F.col("_c"))))
+            "_wanted", lambda i: (i < F.col("_end")) & (i >= F.col("_end") - F.col("_c"))))
         .filter(F.size("_hits") > 0)
         .select(*group, "_n", "_v", F.explode("_hits").alias("_rank"))
     )
@@ -54,9 +61,10 @@ def exact_quantiles(
         F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
     )
 
-    def interpolated(p):
-        low = F.element_at("_at", F.floor(p).cast("long"))
-        high = F.element_at("_at", F.ceil(p).cast("long"))
-        return low + (high - low) * (p - F.floor(p))
+    def interpolated(share):
+        at = share * last
+        low = F.element_at("_at", F.floor(at).cast("long"))
+        high = F.element_at("_at", F.ceil(at).cast("long"))
+        return low + (high - low) * (at - F.floor(at))
 
-    return found.select(*group, F.array(*[interpolated(p) for p in position]).alias(out))
+    return found.select(*group, F.transform(places, interpolated).alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caudal.operators.fx import rates_as_of
 from caudal.operators.quantiles import exact_quantiles
 from caudal.operators.small import join_small, unique_join
-from caudal.plans.policy import CARD_TIERS, CARD_TIERS_SCHEMA, Policy
+from caudal.plans.policy import CARD_TIERS, CARD_TIERS_SCHEMA, Policy, constant_table
 from caudal.plans.profile import local_currency
 from caudal.session import checkpointed
 
@@ -85,7 +85,7 @@ def term_grid(products: DataFrame, fx: DataFrame, policy: Policy) -> DataFrame:
         return F.round(100 * share).cast("int")
 
     card = F.col("product_type") == "Credit Card"
-    tiers = products.sparkSession.createDataFrame(CARD_TIERS, CARD_TIERS_SCHEMA)
+    tiers = constant_table(products.sparkSession, CARD_TIERS, CARD_TIERS_SCHEMA)
     loans = terms.filter(~card).select(
         "*", F.lit(None).cast("string").alias("tier"), F.lit(None).cast("int").alias("tier_rank"),
         F.col("product_code").alias("_code"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,35 +90,40 @@ LOCAL_CURRENCY = {"México": "MXN", "Colombia": "COP", "Argentina": "ARS"}
 DEBT_TO_INCOME_NEAR_LIMIT = 0.19
 
 
-def _finish(tables: dict[str, DataFrame], source: dict | None = None) -> dict[str, DataFrame]:
-    """Split the term list and stamp version, file and load time on every table."""
-    version = tables["ref_policy_params"].filter("param_name = 'policy_version'").agg(
-        F.max("param_value").alias("policy_version")  # one row
-    )
-    done = {}
-    for name, df in tables.items():
-        if name == "ref_product_catalog":
-            terms = F.split("allowed_terms_months", r"\|")
-            df = df.withColumn("allowed_terms_months", F.transform(terms, lambda t: t.cast("int")))
-        if "_source_file" not in df.columns:
-            df = df.withColumn("_source_file", F.lit(None).cast("string"))
-        df = df.withColumn("_loaded_at", F.current_timestamp())
-        done[name] = df if name == "ref_policy_params" else df.crossJoin(F.broadcast(version))
-    return done
+def _finish(tables: dict[str, DataFrame], version: str | None) -> dict[str, DataFrame]:
+    """Split the term list and stamp version and load time on every table."""
+    terms = F.transform(F.split("allowed_terms_months", r"\|"), lambda t: t.cast("int"))
+    catalog = tables["ref_product_catalog"].withColumn("allowed_terms_months", terms)
+    return {
+        name: df.withColumns({
+            **({} if name == "ref_policy_params" else {"policy_version": F.lit(version)}),
+            "_loaded_at": F.current_timestamp(),
+        })
+        for name, df in {**tables, "ref_product_catalog": catalog}.items()
+    }
+
+
+def constant_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a constant of the plan."""
+    columns = {f.split()[0]: list(v) for f, v in zip(schema.split(","), zip(*rows))}
+    return spark.createDataFrame(pa.table(columns), schema=schema)
 
 
 def policy_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The built-in policy tables."""
-    return _finish({n: spark.createDataFrame(ROWS[n], s) for n, s in SCHEMAS.items()})
+    tables = {n: constant_table(spark, ROWS[n], s).withColumn("_source_file", F.lit(None).cast("string"))
+              for n, s in SCHEMAS.items()}
+    return _finish(tables, {r[0]: r[1] for r in ROWS["ref_policy_params"]}["policy_version"])
 
 
 def load_policy(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The policy tables from ``<folder>/<table>.csv`` with declared types."""
-    return _finish({
+    tables = {
         name: spark.read.schema(schema).option("header", True).csv(f"{folder}/{name}.csv")
         .select("*", F.col("_metadata.file_path").alias("_source_file"))
         for name, schema in SCHEMAS.items()
-    })
+    }
+    return _finish(tables, params_row(tables["ref_policy_params"], PARAM_TYPES).first()["policy_version"])
 
 
 @dataclass(frozen=True)

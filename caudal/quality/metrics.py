@@ -141,10 +141,11 @@ def profile_metrics(profile: DataFrame, customers: DataFrame, policy: Policy) ->
 def option_metrics(options: DataFrame, profile: DataFrame, policy: Policy) -> DataFrame:
     """Completeness, capacity, term, range and featured checks, from one pass over the options."""
     name = "customer_credit_offer_options"
-    limits = profile.select(
-        "customer_id", F.col("available_installment_usd").alias("_capacity"),
-        F.col("max_term_personal_loan_months").alias("_pl"),
-        F.col("max_term_mortgage_months").alias("_mg"),
+    # unique by customer, so that a doubled profile row does not double its options
+    limits = profile.groupBy("customer_id").agg(
+        F.min("available_installment_usd").alias("_capacity"),
+        F.min("max_term_personal_loan_months").alias("_pl"),
+        F.min("max_term_mortgage_months").alias("_mg"),
     )
     c, available = F.col, F.col("is_available")
     too_long = ((c("product_code") == "PL") & (c("term_months") > c("_pl"))) | (

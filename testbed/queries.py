@@ -98,7 +98,7 @@ def show(df: DataFrame, digits: dict[str, int] | None = None, **rename) -> DataF
         if kind.startswith("timestamp"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif kind.startswith("array"):
-            c = F.concat_ws(",", c)
+            c = F.when(c.isNotNull(), F.concat_ws(",", c))
         elif digits and name in digits:
             c = F.round(c, digits[name])
         columns.append(c.alias(rename.get(name, name)))
