@@ -16,13 +16,15 @@ def rebuild(
 ) -> None:
     """Replace the table at ``path``, schema included.
 
-    Rows are range-partitioned on the layout columns first: each task writes
-    few folders, and a date with most of the rows is still written by many tasks.
+    With ``partition_by`` the rows are rebalanced by that column: few files per
+    folder, and a date that holds most of the rows is split over many tasks.
+    ``cluster_by`` sorts the table into ranges of those columns.
     """
-    layout = [c for c in (partition_by, *cluster_by) if c]
-    if layout:
-        spread = [c for c in df.columns if c not in layout][:1]
-        df = df.repartitionByRange(*layout, *spread).sortWithinPartitions(*layout)
+    if cluster_by:
+        layout = [c for c in (partition_by, *cluster_by) if c]
+        df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
+    elif partition_by:
+        df = df.hint("rebalance", partition_by)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 

@@ -28,18 +28,27 @@ from caudal.sinks.tables import read_if_exists
 BUCKETS = 64
 
 
-def read_history(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The table's current rows with their ``bucket``; None before the first commit."""
+def _live_folders(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """The folder that holds each bucket's state; at most one entry per bucket."""
     commits = read_if_exists(spark, f"{target}/commits")
-    history = read_if_exists(spark, f"{target}/history")
-    if commits is None or history is None:
-        return None
+    if commits is None:
+        return {}
     if before is not None:
         commits = commits.filter(F.col("batch") < before)
-        history = history.filter(F.col("batch") < before)
-    # one row per bucket
-    newest = commits.groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return history.join(F.broadcast(newest), ["batch", "bucket"], "left_semi").drop("batch")
+    newest = commits.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
+    return {r["bucket"]: f"{target}/history/batch={r['batch']}/bucket={r['bucket']}" for r in newest}
+
+
+def _read_folders(spark: SparkSession, target: str, folders) -> DataFrame | None:
+    """Only the named folders are listed and read, never a replaced one."""
+    if not folders:
+        return None
+    return spark.read.option("basePath", f"{target}/history").parquet(*sorted(folders)).drop("batch")
+
+
+def read_history(spark: SparkSession, target: str) -> DataFrame | None:
+    """The table's current rows with their ``bucket``; None before the first commit."""
+    return _read_folders(spark, target, _live_folders(spark, target).values())
 
 
 def scd_merge(
@@ -66,22 +75,21 @@ def scd_merge(
     changes = read_if_exists(spark, log)
     if changes is None:
         return
-    touched = changes.select("bucket").distinct()  # at most ``buckets`` rows
+    # at most ``buckets`` numbers: as literals they prune the folders of log and history
+    touched = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())
     touched_keys = changes.select(*keys).distinct()
     if fits_broadcast(touched_keys):
         touched_keys = F.broadcast(touched_keys)
 
-    current = read_history(spark, target, before=batch_id)
-    if current is not None:
-        current = current.join(F.broadcast(touched), "bucket", "left_semi")
+    live = _live_folders(spark, target, before=batch_id)
+    current = _read_folders(spark, target, [live[b] for b in touched if b in live])
     if scd_type == 1:
         rows = changes if current is None else current.unionByName(changes, allowMissingColumns=True)
         merged = scd1(rows, keys, sequence)
     else:
         every = (
             spark.read.option("basePath", f"{target}/log").parquet(f"{target}/log")
-            .filter(F.col("batch") <= batch_id).drop("batch")
-            .join(F.broadcast(touched), "bucket", "left_semi")
+            .filter((F.col("batch") <= batch_id) & F.col("bucket").isin(touched)).drop("batch")
             .join(touched_keys, keys, "left_semi")
         )
         merged = scd2(every.drop("bucket"), keys, sequence, tracked, untracked, hot_rows)
@@ -91,7 +99,8 @@ def scd_merge(
                 current.join(touched_keys, keys, "left_anti"), allowMissingColumns=True
             )
     merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/history/batch={batch_id}")
-    touched.coalesce(1).write.mode("overwrite").parquet(f"{target}/commits/batch={batch_id}")
+    commit = spark.createDataFrame([(b,) for b in touched], "bucket int")
+    commit.coalesce(1).write.mode("overwrite").parquet(f"{target}/commits/batch={batch_id}")
 
 
 def merge_stream(stream: DataFrame, target: str, checkpoint: str, **merge) -> None:

@@ -79,14 +79,26 @@ def test_ledger(spark, tmp_path):
     assert new_files(list_files(spark, path, "*.csv"), grown).count() == 1
 
 
-def test_rebuild_writes_one_hot_partition_with_several_tasks(spark, tmp_path):
-    df = spark.range(40_000).select(
-        "id", F.when(F.col("id") % 3 == 0, "2026-01-01").otherwise(F.concat(F.lit("2026-02-"), F.col("id") % 28)).alias("d"))
-    rebuild(df, str(tmp_path / "t"), "d")
-    back = spark.read.parquet(str(tmp_path / "t"))
-    assert back.count() == 40_000
-    files = [f for f in (tmp_path / "t").glob("*/*.parquet")]
-    assert len(files) < 29 + 40 * 2
+def test_rebuild_splits_a_hot_partition_and_keeps_the_others_small(spark, tmp_path):
+    df = spark.range(200_000).select(
+        "id", F.sha2(F.col("id").cast("string"), 256).alias("text"),
+        F.when(F.col("id") % 3 == 0, "2026-01-01").otherwise(F.concat(F.lit("2026-02-"), F.col("id") % 28)).alias("d"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        rebuild(df.repartition(8), str(tmp_path / "t"), "d")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+    hot = list((tmp_path / "t" / "d=2026-01-01").glob("*.parquet"))
+    cold = list((tmp_path / "t" / "d=2026-02-1").glob("*.parquet"))
+    assert len(hot) > 1 and len(cold) <= 2
+
+
+def test_rebuild_clusters(spark, tmp_path, rows):
+    rebuild(spark.range(1000).select("id", (-F.col("id")).alias("x")), str(tmp_path / "t"), cluster_by=["x"])
+    back = spark.read.parquet(str(tmp_path / "t")).groupBy(F.spark_partition_id()).agg(F.min("x"), F.max("x"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000 and back.count() >= 1
 
 
 def test_add_by_name(spark, rows):
