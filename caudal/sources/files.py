@@ -144,7 +144,3 @@ def _field_count(sep: str) -> Column:
     bare = F.regexp_replace("_corrupt_record", r'"([^"]|"")*"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 
-
-def constant_relation(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small inline table."""
-    return spark.createDataFrame(list(rows), schema)

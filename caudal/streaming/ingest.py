@@ -36,3 +36,20 @@ def append_stream(df: DataFrame, path: str, checkpoint: str) -> None:
         .trigger(availableNow=True).start(path)
     )
     query.awaitTermination()
+
+
+def append_flow(df: DataFrame, path: str, flow: str, checkpoint: str) -> None:
+    """One of several streams into the same table: append what is available now and stop.
+
+    The file sink keeps one log per folder and so serves one query; here every
+    flow has its folder and every batch its own below it, which a repeated
+    batch overwrites.  The table has ``flow`` and ``batch`` as partition columns.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/flow={flow}/batch={batch}")
+
+    query = (
+        df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
