@@ -47,6 +47,7 @@ def frequent_digests(rows: DataFrame) -> DataFrame:
     summary = (
         rows.groupBy((F.spark_partition_id() % SUMMARY_GROUPS).alias("_group"))
         .agg(F.expr(f"approx_top_k_accumulate(xxhash64(_digest), {COUNTERS})").alias("_part"))
+        .groupBy((F.col("_group") < 0).alias("_one"))  # the sketches of no group cannot be combined
         .agg(F.expr(f"approx_top_k_combine(_part, {COUNTERS})").alias("_all"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(_all, {COUNTERS})")).alias("_found"))
         .select(F.col("_found.item").alias("_item"))
