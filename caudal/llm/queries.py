@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from caudal.llm import exact_dedup
+from caudal.llm import exact_dedup, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
