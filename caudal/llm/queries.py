@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from caudal.llm import exact_dedup, token_counts
+from caudal.llm import bpe, exact_dedup, packing, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_bpe": bpe.op3_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
