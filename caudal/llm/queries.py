@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from caudal.llm import bpe, exact_dedup, packing, token_counts
+from caudal.llm import bpe, exact_dedup, minhash, packing, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_bpe": bpe.op3_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_minhash": minhash.op9_minhash,
 }
 
 ORACLE = {
