@@ -32,7 +32,8 @@ from caudal.llm.common import read_documents, row_map
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 600_000
+NEVER = 1 << 30
 WHITE = frozenset(chr(i) for i in range(0x3001) if regex.match(r"\s", chr(i)))
 UNEVEN_BLANKS = re.compile(r" \s|\s |\A | \Z")
 
@@ -56,6 +57,13 @@ class PrefixCounter:
             (unmapped(a), unmapped(b)): rank for rank, (a, b) in enumerate(spec["model"]["merges"])
         }
         self.vocabulary = {unmapped(token) for token in spec["model"]["vocab"]}
+        self.halves = {a + b: (rank, a, b) for (a, b), rank in self.ranks.items()}
+        #: whether every token is merged later than its halves, as in any trained vocabulary
+        self.ordered = len(self.halves) == len(self.ranks) and all(
+            rank > max(self.halves.get(a, (-1,))[0], self.halves.get(b, (-1,))[0])
+            for rank, a, b in self.halves.values()
+        )
+        self.edges: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self.longest = max(map(len, self.vocabulary))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
@@ -72,15 +80,46 @@ class PrefixCounter:
         if known is None:
             if len(self.meet) >= CACHED_CHUNKS:
                 self.meet.clear()
-            known = self.meet[key] = self._encode(left + right) == [left, right]
+            known = self._apart(left, right) if self.ordered else self._encode(left + right) == [left, right]
+            self.meet[key] = known
         return known
 
+    def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """The parts at one edge of a token as it grows, each with the rank of the merge that ends it."""
+        known = self.edges.get((token, side))
+        if known is None:
+            part, ends, known = token, NEVER, []
+            while part:
+                known.append((part, ends))
+                ends, *both = self.halves.get(part, (0, b"", b""))
+                part = both[side]
+            known.reverse()
+            self.edges[token, side] = known
+        return known
+
+    def _apart(self, left: bytes, right: bytes) -> bool:
+        """No merge across the boundary comes before the merges beside it; of equal ranks the left one is first."""
+        ending, starting = self._edge(left, 1), self._edge(right, 0)
+        i = j = 0
+        while True:
+            a, a_ends = ending[i]
+            b, b_ends = starting[j]
+            across = self.ranks.get((a, b), NEVER)
+            if across < a_ends and across <= b_ends and across < NEVER:
+                return False
+            if a_ends == b_ends == NEVER:
+                return True
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+
     def _encode(self, data: bytes) -> list[bytes]:
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            ranks = [self.ranks.get(pair, 1 << 30) for pair in zip(parts, parts[1:])]
+            ranks = [self.ranks.get(pair, NEVER) for pair in zip(parts, parts[1:])]
             least = min(ranks)
-            if least == 1 << 30:
+            if least == NEVER:
                 break
             i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
