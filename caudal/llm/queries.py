@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caudal.llm import bpe, exact_dedup, language, minhash, packing, pii, token_counts
+from caudal.llm import bpe, exact_dedup, hmm, language, minhash, packing, pii, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_language_id": language.op8_language_id,
     "op9_minhash": minhash.op9_minhash,
+    "op10_hmm_lm": hmm.op10_hmm_lm,
 }
 
 ORACLE = {
