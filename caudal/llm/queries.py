@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from caudal.llm import bpe, exact_dedup, hmm, language, minhash, packing, pii, quality, token_counts
+from caudal.llm import ann, bpe, exact_dedup, hmm, language, minhash, packing, pii, quality, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_bpe": bpe.op3_bpe,
+    "op4_ann": ann.op4_ann,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality": quality.op6_quality,
     "op7_pii": pii.op7_pii,
