@@ -1,27 +1,61 @@
-"""From raw documents to packed training sequences: five stages, each on all rows its predecessor kept."""
+"""From raw documents to packed training sequences: five stages, each on all rows its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
+as the next stage's ``docs``. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caudal.llm.exact_dedup import drop_exact_duplicates
+from caudal.llm import exact_dedup, minhash, packing, pii, quality
 from caudal.session import scratch_path
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior of being good is below one half go."""
+    evidence = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.acceptable())
+    return quality.keep(docs, evidence, F.col("source"), F.col("lang"))
+
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    return drop_exact_duplicates(docs)
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the least id stays."""
+    return minhash.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; ``n_chars`` is counted anew."""
+    return pii.redact(docs, pii.fit(pii.labelled_windows(docs)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document with its place in a sequence of at most 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
+    ("quality", quality_stage),
     ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
 ]
 
+#: stages train models and compare sets, which SQL cannot express; tests compare with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages in order; each result is written as Parquet and read again by the next."""
+    """Apply the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = scratch_path(spark, "pipeline")
     for name, stage in STAGES[:-1]:
