@@ -10,8 +10,8 @@ shingle; no words, no set and no links.
    verified on its signatures (8 bits of each minimum; five deviations below the threshold), then on
    the whole sets. Verified links give components.
 3. Buckets that still hold several components are searched for links between them: each node with
-   its most similar node of each other component, then with the next most similar ones, twice as many
-   each time, until no pair is left that signatures allow. Links inside a component are never looked
+   its most similar node of each other component, then with the next ones, then with all the rest that
+   signatures allow. Links inside a component are never looked
    for, so a bucket of many mutual near-copies costs no square of its size. Large buckets are
    searched in blocks of bounded size.
 
@@ -35,6 +35,9 @@ from caudal.session import checkpointed
 BANDS, ROWS = 32, 5
 SEED = 20
 BLOCK = 2048
+GROUP_ROWS = 20_000
+EVERY = 1 << 30
+RANKS = ((1, 1), (2, 16), (17, EVERY))
 CACHED_WORDS = 300_000
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -195,26 +198,37 @@ def _across(members: DataFrame, first: int, last: int, percent: int) -> DataFram
         .withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other"))
     )
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(pdf["_sketch"]), np.uint8).reshape(len(pdf), -1)
+    def in_block(pdf: pd.DataFrame, sketch: np.ndarray, out: list) -> None:
         root, node, block = pdf["_root"].to_numpy(), pdf["_node"].to_numpy(), pdf["_block"].to_numpy()
         i, j, centre = pdf["_i"].iloc[0], pdf["_j"].iloc[0], pdf["_least"].iloc[0]
-        out = []
-        for x in np.flatnonzero(block == i):
-            others = np.flatnonzero((block == j) & (root != root[x]) & (node != centre))
-            if node[x] == centre or not len(others):
-                continue  # pairs with the least node have been compared
+        rest = node != centre  # pairs with the least node have been compared
+        right = np.flatnonzero((block == j) & rest)
+        for x in np.flatnonzero((block == i) & rest):
+            others = right[root[right] != root[x]]
+            if not len(others):
+                continue
             score = _alike(sketch[x], sketch[others])
             others, score = others[score >= least], score[score >= least]
             order = np.lexsort((node[others], -score, root[others]))
             roots = root[others][order]
-            start = np.searchsorted(roots, roots, "left")
-            rank = np.arange(len(order)) - start + 1
+            rank = np.arange(len(order)) - np.searchsorted(roots, roots, "left") + 1
             for y in others[order[(rank >= first) & (rank <= last)]]:
                 out.append((min(node[x], node[y]), max(node[x], node[y])))
-        return pd.DataFrame(out, columns=["_a", "_b"]).astype("int64")
 
-    return dealt.groupBy("_h", "_i", "_j").applyInPandas(search, "_a long, _b long").distinct()
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_h", "_i", "_j", "_node"], ignore_index=True)
+        sketch = np.frombuffer(b"".join(pdf["_sketch"]), np.uint8).reshape(len(pdf), -1)
+        starts = np.flatnonzero((pdf[["_h", "_i", "_j"]].diff() != 0).any(axis=1).to_numpy())
+        out: list = []
+        for a, b in zip(starts, [*starts[1:], len(pdf)]):
+            in_block(pdf.iloc[a:b], sketch[a:b], out)
+        return pd.DataFrame(out, columns=["_a", "_b"]).astype("int64").drop_duplicates()
+
+    # many buckets to a group: a group of its own for each would cost more than the search
+    groups = max(1, -(-dealt.count() // GROUP_ROWS), int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_h", "_i", "_j"), F.lit(groups)))
+    dealt = dealt.repartition(groups, "_group")
+    return dealt.groupBy("_group").applyInPandas(search, "_a long, _b long").distinct()
 
 
 def near_duplicate_classes(
@@ -243,21 +257,19 @@ def near_duplicate_classes(
     links = checkpointed(_verify(likely, sets, percent))
     roots = connected_components(links)
 
-    first = 1
     crowded = members.filter("_size > 2")
-    while True:
+    for first, last in RANKS:
         placed = crowded.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
         mixed = placed.groupBy("_h").agg(F.min("_root").alias("_r1"), F.max("_root").alias("_r2"))
         open_members = placed.join(mixed.filter("_r1 != _r2").select("_h"), "_h", "left_semi")
-        sketched = open_members.join(nodes.select("_node", "_sketch"), "_node")
-        more = checkpointed(_across(sketched, first, 2 * first - 1, percent))
+        sketched = checkpointed(open_members.join(nodes.select("_node", "_sketch"), "_node"))
+        more = checkpointed(_across(sketched, first, last, percent))
         if more.isEmpty():
             break
         found = checkpointed(_verify(more, sets, percent))
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = connected_components(links)
-        first *= 2
 
     placed = classes.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     least = placed.groupBy("_root").agg(F.min("_least_id").alias("_component"))
