@@ -17,6 +17,7 @@ def business_columns(df: DataFrame) -> list[str]:
 
 def identity_hash(df: DataFrame) -> Column:
     """Key for sources without one: md5 over all business columns in name order."""
+    # fixed values: separator and placeholder of the hashed text
     parts = [
         F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("__NULL__"))
         for c in sorted(business_columns(df))

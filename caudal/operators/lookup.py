@@ -11,14 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caudal.operators.small import fits_broadcast
 
 POLICY_ROWS = 10_000
 
 
 def require_policy_size(policy: DataFrame, max_rows: int = POLICY_ROWS) -> DataFrame:
     """Refuse a policy table that is no policy table; nothing is cut off."""
-    if not fits_broadcast(policy, max_rows):
+    if policy.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"policy table has more than {max_rows} rows: {policy.columns}")
     return policy
 

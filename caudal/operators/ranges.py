@@ -5,11 +5,9 @@ keys that are too large for that into consecutive ranges of the order column,
 so a window over (key, range) stays bounded; what crosses a range border is
 then carried by a table with one row per range.
 
-A key is cut when it holds more than ``limit`` rows, where ``limit`` is never
-below a quarter of an average shuffle partition.  With P shuffle partitions
-there are therefore at most 4P such keys and at most 8P ranges: the tables of
-cuts and borders have a size bound that does not depend on the data and may be
-broadcast.
+A key is cut when it holds more than ``hot_rows`` rows, into ranges of about that
+many.  Cuts are values of a sample, so any type that has an order will do.  The
+table of cuts has at most one value per ``hot_rows`` rows and is broadcast.
 """
 
 from __future__ import annotations
@@ -21,39 +19,36 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 _STRIDE = 64
-
-
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+_SAMPLE = 64
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The keys that are too large for one task, and into how many ``_pieces`` to cut them."""
-    partitions = _partitions(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    limit = counts.agg(
-        F.greatest(F.lit(float(hot_rows)), F.sum("_n") / (4 * partitions)).alias("_limit")
-    )
-    return counts.join(F.broadcast(limit), F.col("_n") > F.col("_limit")).select(
-        *keys, F.ceil(F.col("_n") / F.col("_limit")).alias("_pieces")
+    return counts.filter(F.col("_n") > hot_rows).select(
+        *keys, F.ceil(F.col("_n") / max(hot_rows, 1)).cast("int").alias("_pieces")
     )
 
 
 def cuts(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per large key: ``_cuts``, the inner borders of its ranges in ``order``."""
-    steps = min(4 * _partitions(df), 10_000)
-    large = hot_keys(df, keys, hot_rows).withColumn("_pieces", F.least("_pieces", F.lit(steps)))
-    grid = F.percentile_approx(order, [i / steps for i in range(1, steps)], 4 * steps)
-    picked = F.transform(
-        F.sequence(F.lit(1), F.col("_pieces").cast("int") - 1),
-        lambda i: F.element_at("_grid", F.greatest((i * steps / F.col("_pieces")).cast("int"), F.lit(1))),
-    )
-    return (
-        df.select(*keys, order)
+    """One row per large key: ``_cuts``, the inner borders of its ranges in ``order``.
+
+    ``df`` has each value of ``order`` once per key, or nearly so.  About
+    ``_SAMPLE`` values for each range are sampled, by a hash of the value, and sorted.
+    """
+    large = hot_keys(df, keys, hot_rows)
+    share = min(1.0, _SAMPLE / max(hot_rows, 1))
+    drawn = F.pmod(F.xxhash64(order), F.lit(1 << 30)) < int(share * (1 << 30))
+    sampled = (
+        df.select(*keys, order).filter(drawn)
         .join(F.broadcast(large), list(keys))
         .groupBy(*keys)
-        .agg(grid.alias("_grid"), F.max("_pieces").alias("_pieces"))
-        .filter(F.col("_pieces") > 1)
+        .agg(F.array_sort(F.collect_set(order)).alias("_sorted"), F.max("_pieces").alias("_pieces"))
+    )
+    at = lambda i: F.ceil(i * F.size("_sorted") / F.col("_pieces")).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: F.element_at("_sorted", at(i)))
+    return (
+        sampled.filter("_pieces > 1 AND size(_sorted) > 0")
         .select(*keys, F.array_distinct(picked).alias("_cuts"))
         # every 64th cut, so that a row compares with two short lists
         .withColumn("_coarse", F.filter("_cuts", lambda c, i: i % _STRIDE == _STRIDE - 1))

@@ -58,7 +58,7 @@ def scd2(
             "_after": F.lead("_state").over(in_range),
             "_next": F.lead(sequence).over(in_range),
         })
-        .join(F.broadcast(borders), key_range, "left")
+        .join(borders, key_range, "left")  # rows are dealt by key and range already
         .withColumns({
             "_before": F.coalesce("_before", "_state_before"),
             "_after": F.coalesce("_after", "_state_after"),

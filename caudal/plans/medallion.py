@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from caudal.contracts import ENTITIES
 from caudal.plans.options import offer_options
@@ -50,15 +51,18 @@ def load_bronze(
 def read_bronze(
     spark: SparkSession, base: str, entities: Sequence[str] = tuple(ENTITIES)
 ) -> dict[str, DataFrame]:
-    """Raw tables with every source column STRING again.
+    """Raw tables with every source column STRING, the partition column included.
 
-    Spark infers partition columns from folder names, here a date that arrives as text.
+    Its type is declared, since an inferred date would change texts that are not in the usual form.
     """
-    tables = _tables(spark, f"{base}/bronze", entities)
-    return {
-        n: df.withColumn(p, df[p].cast("string")) if (p := ENTITIES[n].partition_by) else df
-        for n, df in tables.items()
-    }
+    tables = {}
+    for name in entities:
+        folder = f"{base}/bronze/{name}"
+        stored = spark.read.parquet(folder).schema
+        by = ENTITIES[name].partition_by
+        declared = StructType([StructField(f.name, StringType()) if f.name == by else f for f in stored])
+        tables[name] = spark.read.schema(declared).parquet(folder)
+    return tables
 
 
 def build_silver(

@@ -123,7 +123,7 @@ def accepted_offers(offers: DataFrame, acceptances: DataFrame, policy: Policy) -
     channel, language and accepted_at.
     """
     key = ["customer_id", "option_code", "term_months"]
-    joined = unique_join(acceptances, offers, key)
+    joined = unique_join(acceptances, offers, key, "left")
     amount = F.col("accepted_amount_usd")
     installment = monthly_installment(amount, F.col("offer_rate_pct"), F.col("term_months"))
     share = _debt_share(installment)

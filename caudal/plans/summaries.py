@@ -94,10 +94,11 @@ def cashflow_summary(
     The window ends at ``as_of`` or, without it, at the last process date of
     the table, which a scalar subquery finds before the scan starts.
     """
-    end = F.lit(as_of) if as_of else transactions.agg(F.max("process_date")).scalar()
+    end = F.lit(as_of).cast("date") if as_of else transactions.agg(F.max("process_date")).scalar()
     recent = transactions.filter(
         (F.col("transaction_status") == "Approved")
         & (F.col("process_date") > F.date_sub(end, CASHFLOW_WINDOW_DAYS))
+        & (F.col("process_date") <= end)
     )
     at_rate = convert_on_date(recent, fx, {"amount": "_converted"}, "currency", F.to_date("transaction_date"))
     amount = F.when(F.col("currency") == "USD", F.col("amount")).otherwise(

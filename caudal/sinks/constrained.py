@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.operators.dedup import latest_by_key
+from caudal.operators.small import shuffled_join
 from caudal.session import checkpointed
 from caudal.sinks.tables import append, read_if_exists
 
@@ -35,18 +39,19 @@ def validate(
     )
     if existing is not None:
         known = existing.select(*pk).distinct().withColumn("_known", F.lit(True))
-        judged = judged.join(known, list(pk), "left").withColumn(
+        judged = shuffled_join(judged, known, pk).withColumn(
             "_violations",
             F.when(F.col("_known"), F.array_append("_violations", F.lit("duplicate key")))
             .otherwise(F.col("_violations")),
         ).drop("_known")
     good = judged.filter(F.size("_violations") == 0)
     accepted = latest_by_key(good.select(*columns), pk, [])
-    # full-row comparison, since rows with one key may differ anywhere
-    winner = accepted.select(*pk, F.struct(*columns).alias("_winner"))
+    # matched on the whole row, so that rows of a frequent key are spread
+    winner = accepted.select(*[F.col(c).alias(f"_w_{c}") for c in columns], F.lit(1).alias("_winner"))
+    same = reduce(and_, (good[c].eqNullSafe(winner[f"_w_{c}"]) for c in columns))
     spare = (
-        good.join(winner, list(pk))
-        .withColumn("_copies", F.col("_copies") - F.struct(*columns).eqNullSafe(F.col("_winner")).cast("int"))
+        good.join(winner, same, "left")
+        .withColumn("_copies", F.col("_copies") - F.coalesce("_winner", F.lit(0)))
         .filter("_copies > 0")
         .withColumn("_violations", F.array(F.lit("duplicate key")))
     )

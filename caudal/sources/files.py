@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import csv
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.operators.small import join_small
+from caudal.session import checkpointed
 
 FORMATS = ("csv", "json", "parquet", "text", "xml", "orc", "binaryFile")
 RESCUED = "_rescued_data"
-MAX_HEADERS = 1_000
 
 
 def check_format(fmt: str) -> str:
@@ -52,6 +51,40 @@ def csv_headers(spark: SparkSession, path, **options) -> DataFrame:
     )
 
 
+def _positions(names: Column, columns: Sequence[str]) -> list[Column]:
+    """Where each declared column is in a header, first occurrence, from 1; NULL if it is not there."""
+    return [F.nullif(F.array_position(names, c), F.lit(0)).cast("int") for c in columns]
+
+
+def _layouts(spark: SparkSession, path, columns: Sequence[str], sep: str, **options) -> tuple[DataFrame, int]:
+    """For each file: _path, _where (of declared columns), _extra (key and position of others), _fields.
+
+    A key is the column's name; names that are empty, repeated, begin with ``_`` or hold ``#`` get ``#``
+    and the position, so keys never repeat.  The second value is the widest header's number of fields or more.
+    """
+    headers = checkpointed(csv_headers(spark, path, **options))  # the only pass over the lines
+    separators = F.length("_header") - F.length(F.replace("_header", F.lit(sep), F.lit("")))
+    width = (headers.agg(F.max(separators)).first()[0] or 0) // len(sep) + 1
+    fields = ", ".join(f"_c{i} string" for i in range(width))
+    parsed = F.from_csv("_header", F.lit(fields), {"sep": sep, "escape": '"'})
+    cells = F.array(*[parsed[f"_c{i}"] for i in range(width)])
+    count = _field_count(sep, "_header")
+    names = F.transform(F.slice(cells, F.lit(1), count), lambda n: F.trim(F.coalesce(n, F.lit(""))))
+    listed = headers.select("_path", names.alias("_names"))
+
+    def other(name: Column, i: Column) -> Column:
+        plain = name.rlike("^[^_#][^#]*$") & (
+            F.size(F.filter("_names", lambda n: n == name)) == 1)
+        key = F.when(plain, name).otherwise(F.concat(name, F.lit("#"), i + 1))
+        declared = name.isin(list(columns)) & (F.array_position("_names", name) == i + 1)
+        return F.when(~declared, F.struct(key.alias("name"), (i + 1).alias("at")))
+
+    return listed.select(
+        "_path", F.array(*_positions(F.col("_names"), columns)).alias("_where"),
+        F.array_compact(F.transform("_names", other)).alias("_extra"), F.size("_names").alias("_fields"),
+    ), width
+
+
 def read_strings(
     spark: SparkSession,
     path,
@@ -63,20 +96,14 @@ def read_strings(
 ) -> DataFrame:
     """CSV files to STRING ``columns`` by header name, whatever the column order of each file.
 
-    Columns a file lacks are NULL.  Values of columns that are not declared,
-    and the text of rows whose number of fields is wrong, go to ``rescue`` as
-    JSON; no row is lost.  ``_source_file_path`` and ``_bronze_ingested_at``
-    are added.
+    Columns a file lacks are NULL.  Values of columns that are not declared, repeated
+    names included, and the text of rows whose number of fields is wrong, go to ``rescue`` as
+    JSON; no row is lost.  ``_source_file_path`` and ``_bronze_ingested_at`` are added.
+    Headers are found in one pass over the lines and stored; rows are read once.
     """
     file_options = {k: v for k, v in options.items()
                     if k in ("pathGlobFilter", "recursiveFileLookup", "modifiedAfter", "modifiedBefore")}
-    headers = csv_headers(spark, path, **file_options)
-    lines = [r[0] for r in headers.select("_header").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(lines) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers below {path}")
-    names = {line: [n.strip() for n in next(csv.reader([line], delimiter=sep))] for line in lines}
-    width = max((len(n) for n in names.values()), default=len(columns))
-
+    layouts, width = _layouts(spark, path, columns, sep, **file_options)
     positional = ", ".join(f"_c{i} string" for i in range(width))
     raw = (
         spark.read.schema(f"{positional}, _corrupt_record string")
@@ -86,27 +113,18 @@ def read_strings(
         .csv(path)
         .select("*", F.col("_metadata.file_path").alias("_path"))
     )
-    if len(names) <= 1:
-        header = next(iter(names.values()), list(columns))
-        declared = {c: F.col(f"_c{header.index(c)}") if c in header else F.lit(None).cast("string")
-                    for c in columns}
-        extras = [(n, F.col(f"_c{i}")) for i, n in enumerate(header) if n not in columns]
-        unknown = F.map_from_entries(F.array(*[
-            F.struct(F.lit(n), v) for n, v in extras
-        ]).cast("array<struct<name:string,value:string>>"))
-        fields = F.lit(len(header))
-    else:
-        raw, declared, unknown, fields = _by_file(spark, raw, headers, names, columns, width)
-
-    raw = raw.withColumn("_unknown", F.map_filter(unknown, lambda _, v: v.isNotNull()))
-    malformed = F.col("_corrupt_record").isNotNull() & (_field_count(sep) != fields)
+    raw = join_small(raw, layouts, ["_path"]).withColumn("_values", F.array(*[f"_c{i}" for i in range(width)]))
+    unknown = F.map_from_entries(F.transform(
+        "_extra", lambda e: F.struct(e["name"], F.try_element_at("_values", e["at"]))
+    ))
+    malformed = F.col("_corrupt_record").isNotNull() & (_field_count(sep) != F.col("_fields"))
     rescued = F.map_concat(
-        F.col("_unknown"),
+        F.map_filter(unknown, lambda _, v: v.isNotNull()),
         F.when(malformed, F.create_map(F.lit("_malformed"), F.col("_corrupt_record")))
         .otherwise(F.create_map().cast("map<string,string>")),
     )
     return raw.withColumn("_rescued", rescued).select(
-        *[value.alias(name) for name, value in declared.items()],
+        *[F.try_element_at("_values", F.element_at("_where", i + 1)).alias(c) for i, c in enumerate(columns)],
         F.when(
             F.size("_rescued") > 0,
             F.to_json(F.map_concat("_rescued", F.create_map(F.lit("_file_path"), F.col("_path")))),
@@ -116,31 +134,8 @@ def read_strings(
     )
 
 
-def _by_file(spark, raw, headers, names: Mapping[str, list[str]], columns, width):
-    """Attach to every row where its file keeps each declared and each unknown column."""
-    layout = spark.createDataFrame(
-        [
-            (line, [header.index(c) + 1 if c in header else None for c in columns],
-             [(n, i + 1) for i, n in enumerate(header) if n not in columns], len(header))
-            for line, header in names.items()
-        ],
-        "_header string, _where array<int>, _extra array<struct<name:string,at:int>>, _fields int",
-    )
-    per_file = headers.join(F.broadcast(layout), "_header").drop("_header")
-    raw = join_small(raw, per_file, ["_path"]).withColumn(
-        "_values", F.array(*[f"_c{i}" for i in range(width)])
-    )
-    declared = {
-        c: F.try_element_at("_values", F.element_at("_where", i + 1)) for i, c in enumerate(columns)
-    }
-    unknown = F.map_from_entries(F.transform(
-        "_extra", lambda e: F.struct(e["name"], F.try_element_at("_values", e["at"]))
-    ))
-    return raw, declared, unknown, F.col("_fields")
-
-
-def _field_count(sep: str) -> Column:
+def _field_count(sep: str, text: str = "_corrupt_record") -> Column:
     """Fields in the text of a row: separators outside of quotes, plus one."""
-    bare = F.regexp_replace("_corrupt_record", r'"([^"]|"")*"', "")
+    bare = F.regexp_replace(text, r'"([^"]|"")*"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
 

@@ -7,48 +7,85 @@ Layout below the target folder::
     commits/batch=<id>              the buckets that batch replaced, written last
 
 A key's bucket is a hash of the key.  A batch rewrites only buckets it has
-changes for, and within them recomputes only the keys it touches.  The state
-of a bucket is its newest committed batch, so a batch that is run again
-overwrites its own folders and nothing else.
+changes for, and within them recomputes only the keys it touches, from the logs of
+those buckets.  The state of a bucket is its newest committed batch, so a batch that
+is run again overwrites its own folders and nothing else.  Commits also keep the
+number of buckets and the columns.  ``compact`` merges logs and leaves replaced
+folders behind.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from caudal.operators.dedup import not_null
 from caudal.operators.ranges import HOT_ROWS
-from caudal.operators.scd import scd1, scd2
+from caudal.operators.scd import END, START, scd1, scd2
 from caudal.operators.small import fits_broadcast
 from caudal.sinks.tables import read_if_exists
 
 BUCKETS = 64
 
 
-def _live_folders(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
-    """The folder that holds each bucket's state; at most one entry per bucket."""
+class BucketMismatch(ValueError):
+    """The table was built with another number of buckets."""
+
+
+def _commits(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
     commits = read_if_exists(spark, f"{target}/commits")
+    return commits if commits is None or before is None else commits.filter(F.col("batch") < before)
+
+
+def _live_folders(commits: DataFrame | None) -> dict[int, str]:
+    """The folder, below the table's, that holds each bucket's state; at most one entry per bucket."""
     if commits is None:
         return {}
-    if before is not None:
-        commits = commits.filter(F.col("batch") < before)
     newest = commits.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
-    return {r["bucket"]: f"{target}/history/batch={r['batch']}/bucket={r['bucket']}" for r in newest}
+    return {r["bucket"]: f"history/batch={r['batch']}/bucket={r['bucket']}" for r in newest}
+
+
+def _stored_schema(commits: DataFrame | None) -> StructType | None:
+    """Columns of all accepted changes so far, as the newest commit has them."""
+    if commits is None:
+        return None
+    newest = commits.agg(F.max_by("columns", "batch")).first()[0]
+    return StructType.fromJson(json.loads(newest)) if newest else None
 
 
-def _read_folders(spark: SparkSession, target: str, folders) -> DataFrame | None:
-    """Only the named folders are listed and read, never a replaced one."""
+def _read_folders(spark: SparkSession, target: str, folders, schema: StructType | None) -> DataFrame | None:
+    """Only the named folders are listed and read, never a replaced one; columns they lack are NULL."""
     if not folders:
         return None
-    return spark.read.option("basePath", f"{target}/history").parquet(*sorted(folders)).drop("batch")
+    reader = spark.read.option("basePath", f"{target}/{next(iter(folders)).split('/')[0]}")
+    return (reader.schema(schema) if schema else reader).parquet(*sorted(f"{target}/{f}" for f in folders)).drop("batch")
+
+
+def _with_versions(schema: StructType, sequence: str, scd_type: int) -> StructType:
+    kind = schema[sequence].dataType
+    ends = [] if scd_type == 1 else [StructField(START, kind), StructField(END, kind)]
+    return StructType([*schema.fields, *ends, StructField("bucket", IntegerType())])
+
+
+def _widened(known: StructType | None, batch: StructType) -> StructType:
+    """Known columns, then those the batch has besides; a known column keeps its type."""
+    known = known or StructType([])
+    new = [StructField(f.name, f.dataType) for f in batch if f.name not in known.fieldNames()]
+    return StructType([*known.fields, *new])
 
 
 def read_history(spark: SparkSession, target: str) -> DataFrame | None:
     """The table's current rows with their ``bucket``; None before the first commit."""
-    return _read_folders(spark, target, _live_folders(spark, target).values())
+    commits = _commits(spark, target)
+    if commits is None:
+        return None
+    last = commits.orderBy(F.desc("batch")).first()
+    schema = _with_versions(_stored_schema(commits), last["sequence"], last["scd_type"])
+    return _read_folders(spark, target, set(_live_folders(commits).values()), schema)
 
 
 def scd_merge(
@@ -63,44 +100,87 @@ def scd_merge(
     buckets: int = BUCKETS,
     hot_rows: int = HOT_ROWS,
 ) -> None:
-    """Merge one micro-batch into the table at ``target``; for use in ``foreachBatch``."""
+    """Merge one micro-batch into the table at ``target``; for use in ``foreachBatch``.
+
+    A column the table does not have yet is added to it.  The number of buckets is
+    the table's for good; another one is refused.
+    """
     spark, keys = batch.sparkSession, list(keys)
-    commits = read_if_exists(spark, f"{target}/commits")
-    if commits is not None and not commits.filter(F.col("batch") == batch_id).isEmpty():
+    every_commit = _commits(spark, target)
+    if every_commit is not None and not every_commit.filter(F.col("batch") == batch_id).isEmpty():
         return
+    commits = None if every_commit is None else every_commit.filter(F.col("batch") < batch_id)
+    if commits is not None and commits.isEmpty():
+        commits = None
+    if commits is not None and (kept := commits.select("buckets").first()[0]) != buckets:
+        raise BucketMismatch(f"{target} has {kept} buckets, not {buckets}")
+    columns = _widened(_stored_schema(commits), batch.schema)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     changes = not_null(batch, [*keys, sequence]).withColumn("bucket", bucket)
-    log = f"{target}/log/batch={batch_id}"
-    changes.write.mode("overwrite").partitionBy("bucket").parquet(log)
-    changes = read_if_exists(spark, log)
-    if changes is None:
+    log = f"log/batch={batch_id}"
+    # a bucket that holds most of a batch is split, a small one is one file
+    changes.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/{log}")
+    logged = StructType([*columns.fields, StructField("bucket", IntegerType())])
+    if read_if_exists(spark, f"{target}/{log}") is None:
         return
+    changes = _read_folders(spark, target, {log}, logged)
     # at most ``buckets`` numbers: as literals they prune the folders of log and history
     touched = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())
     touched_keys = changes.select(*keys).distinct()
     if fits_broadcast(touched_keys):
         touched_keys = F.broadcast(touched_keys)
 
-    live = _live_folders(spark, target, before=batch_id)
-    current = _read_folders(spark, target, [live[b] for b in touched if b in live])
+    live = _live_folders(commits)
+    current = _read_folders(spark, target, {live[b] for b in touched if b in live},
+                            _with_versions(columns, sequence, scd_type))
     if scd_type == 1:
         rows = changes if current is None else current.unionByName(changes, allowMissingColumns=True)
         merged = scd1(rows, keys, sequence)
     else:
-        every = (
-            spark.read.option("basePath", f"{target}/log").parquet(f"{target}/log")
-            .filter((F.col("batch") <= batch_id) & F.col("bucket").isin(touched)).drop("batch")
-            .join(touched_keys, keys, "left_semi")
-        )
+        earlier = set() if commits is None else {
+            f"log/batch={r['batch']}/bucket={r['bucket']}"
+            for r in commits.filter(F.col("bucket").isin(touched)).select("logs", "bucket")
+            .select(F.explode("logs").alias("batch"), "bucket").distinct().collect()
+        }
+        own = {f"{log}/bucket={b}" for b in touched}
+        every = _read_folders(spark, target, earlier | own, logged).join(touched_keys, keys, "left_semi")
         merged = scd2(every.drop("bucket"), keys, sequence, tracked, untracked, hot_rows)
         merged = merged.withColumn("bucket", bucket)
         if current is not None:
             merged = merged.unionByName(
                 current.join(touched_keys, keys, "left_anti"), allowMissingColumns=True
             )
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/history/batch={batch_id}")
-    commit = spark.createDataFrame([(b,) for b in touched], "bucket int")
-    commit.coalesce(1).write.mode("overwrite").parquet(f"{target}/commits/batch={batch_id}")
+    merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{target}/history/batch={batch_id}")
+    _commit(spark, target, batch_id, [(b, [batch_id]) for b in touched], buckets, columns, sequence, scd_type)
+
+
+def _commit(spark, target, batch_id, entries, buckets, columns: StructType, sequence, scd_type) -> None:
+    """What a batch replaced: a row per bucket with the log folders it adds, written last."""
+    rows = [(b, logs, buckets, columns.json(), sequence, scd_type) for b, logs in entries]
+    shape = "bucket int, logs array<int>, buckets int, columns string, sequence string, scd_type int"
+    spark.createDataFrame(rows, shape).coalesce(1).write.mode("overwrite").parquet(f"{target}/commits/batch={batch_id}")
+
+
+def compact(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a table to the new folder ``target`` as one batch: one log and one state per bucket.
+
+    Replaced folders and the many small logs stay behind; a stream goes on with ``target`` from its next batch.
+    """
+    commits = _commits(spark, source)
+    last = commits.orderBy(F.desc("batch")).first()
+    columns = _stored_schema(commits)
+    number, stored = last["batch"], StructType([*columns.fields, StructField("bucket", IntegerType())])
+    logs = {f"log/batch={r[0]}/bucket={r[1]}" for r in
+            commits.select(F.explode("logs"), "bucket").distinct().collect()}
+    if last["scd_type"] == 2:
+        log = _read_folders(spark, source, logs, stored)
+        log.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{target}/log/batch={number}")
+    state = read_history(spark, source)
+    state.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{target}/history/batch={number}")
+    held = sorted(_live_folders(commits))
+    _commit(spark, target, number, [(b, [number]) for b in held], last["buckets"], columns, last["sequence"],
+            last["scd_type"])
 
 
 def merge_stream(stream: DataFrame, target: str, checkpoint: str, **merge) -> None:

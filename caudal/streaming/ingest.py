@@ -2,22 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.operators.cleanse import drop_empty_rows, ensure_columns, sanitize_names
-from caudal.sources.files import check_format, with_provenance
+from caudal.sources.files import check_format, read_strings, with_provenance
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "csv", **options) -> DataFrame:
     """Streaming read of a folder, stamped with file provenance.
 
+    The schema is applied by position, and CSV files with another header are refused;
+    ``stream_strings`` reads CSV by column name.
+
     Options go to the reader (``pathGlobFilter``, ``maxFilesPerTrigger``, ``ignoreCorruptFiles`` ...).
     """
+    if fmt == "csv":
+        options.setdefault("enforceSchema", False)
     reader = spark.readStream.format(check_format(fmt)).schema(schema).options(**options)
     return with_provenance(reader.load(path))
 
 
+def stream_strings(
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str],
+    take: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    glob: str = "*.csv",
+    files_per_batch: int = 1000,
+    **reading,
+) -> None:
+    """CSV files of a folder by column name, each file once: ``take(rows, batch)`` for all that are there now.
+
+    The stream is one of file names; a batch is then read like any other set of files,
+    with the header of each, rescued values included (``sources.files.read_strings``).
+    At most ``files_per_batch`` names reach the driver at a time.
+    """
+    names = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", files_per_batch).load(path).select("path")
+    )
+
+    def read(batch: DataFrame, number: int) -> None:
+        paths = [r["path"] for r in batch.distinct().collect()]
+        if paths:
+            take(read_strings(batch.sparkSession, sorted(paths), columns, **reading), number)
+
+    query = (
+        names.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
 def stream_table(spark: SparkSession, path: str) -> DataFrame:
     """Streaming read of an append-only Parquet table, with the table's own schema."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caudal.operators.scd import END, START, scd1, scd2
-from caudal.streaming.history import merge_stream, read_history, scd_merge
+from caudal.streaming.history import BucketMismatch, compact, merge_stream, read_history, scd_merge
 
 SCHEMA = "k int, seq int, state string, note string"
 
@@ -107,3 +107,37 @@ def test_stream_of_type_1(spark, tmp_path, rows):
     merge_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), keys=["k"], sequence="seq", scd_type=1, buckets=4)
     got = read_history(spark, str(tmp_path / "t"))
     assert rows(got, "k", "seq", "state", "note") == rows(scd1(df, ["k"], "seq"), "k", "seq", "state", "note")
+
+
+def test_columns_that_appear_later_are_kept(spark, tmp_path):
+    target, merge = str(tmp_path / "t"), dict(keys=["k"], sequence="seq", untracked=["note"], buckets=2)
+    scd_merge(spark.createDataFrame([(1, 1, "a", "n"), (2, 1, "a", "n")], SCHEMA), 0, target, **merge)
+    scd_merge(spark.createDataFrame([(1, 2, "a", "n", "x")], SCHEMA + ", extra string"), 1, target, **merge)
+    scd_merge(spark.createDataFrame([(2, 3, "b", "n")], SCHEMA), 2, target, **merge)
+    found = {(r["k"], r[START]): (r["state"], r["extra"], r[END]) for r in read_history(spark, target).collect()}
+    assert found == {(1, 1): ("a", None, 2), (1, 2): ("a", "x", None), (2, 1): ("a", None, 3), (2, 3): ("b", None, None)}
+
+
+def test_another_bucket_count_is_refused(spark, tmp_path):
+    target, data = str(tmp_path / "t"), spark.createDataFrame(changes(9, 30), SCHEMA)
+    scd_merge(data, 0, target, keys=["k"], sequence="seq", buckets=4)
+    with pytest.raises(BucketMismatch):
+        scd_merge(data, 1, target, keys=["k"], sequence="seq", buckets=8)
+
+
+def test_few_files_and_compaction(spark, tmp_path):
+    data = changes(10, 200)
+    target, merge = str(tmp_path / "t"), dict(keys=["k"], sequence="seq", tracked=["state"], untracked=["note"], buckets=4)
+    for i in range(3):
+        scd_merge(spark.createDataFrame(data[i * 50 : i * 50 + 50], SCHEMA).repartition(8), i, target, **merge)
+    assert len(list((tmp_path / "t" / "log").rglob("*.parquet"))) <= 3 * 4 * 2
+    compact(spark, target, str(tmp_path / "u"))
+    assert versions(read_history(spark, str(tmp_path / "u"))) == by_hand(data[:150])
+    scd_merge(spark.createDataFrame(data[150:], SCHEMA), 3, str(tmp_path / "u"), **merge)
+    assert versions(read_history(spark, str(tmp_path / "u"))) == by_hand(data)
+
+
+def test_a_text_sequence_of_a_large_key(spark):
+    data = [(k, f"{i:05d}" if k else f"v{i:04d}", "ab"[i // 7 % 2], f"n{i}") for k in (0, 1) for i in range(100)]
+    df = spark.createDataFrame(data, "k int, seq string, state string, note string")
+    assert versions(scd2(df, ["k"], "seq", ["state"], ["note"], hot_rows=10)) == by_hand(data)

@@ -8,6 +8,7 @@ from caudal.contracts import ENTITIES
 from caudal.plans.medallion import refresh_policy, run_medallion
 from caudal.plans.policy import policy_tables
 from caudal.quality.gate import QualityGateError
+from caudal.sinks.publish import read_export
 from testbed import recast
 from testbed.compare import connect, difference
 
@@ -41,7 +42,7 @@ def test_run_and_refresh(spark, landing, tmp_path):
     assert metrics.filter("layer <> 'gold'").count() == 79 and metrics.filter("layer = 'gold'").count() == 14
     again = refresh_policy(spark, base, tables, "2026-05-31", "r2")
     assert again["as_of_date"] == "2026-05-31" and again["rows"] == manifest["rows"]
-    assert spark.read.parquet(f"{base}/exports/customer_credit_profile").agg(F.max("as_of_date").cast("string")).first()[0] == "2026-05-31"
+    assert read_export(spark, f"{base}/exports", "customer_credit_profile").agg(F.max("as_of_date").cast("string")).first()[0] == "2026-05-31"
     metrics = spark.read.parquet(f"{base}/gold/pipeline_quality_metrics")
     assert metrics.filter("run_id = 'r2'").count() == 14
 

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from caudal.plans import policy as pol
 from caudal.sinks.constrained import validate, validated_append
-from caudal.sinks.publish import publish, read_manifest
+from caudal.sinks.publish import publish, read_export, read_manifest
 from caudal.sinks.tables import add_by_name, rebuild
 from caudal.sources.files import read_files, read_strings
 from caudal.sources.ledger import list_files, new_files
-from caudal.streaming.ingest import append_stream, stream_files, to_bronze
+from caudal.streaming.ingest import append_stream, stream_files, stream_strings, to_bronze
 
 
 def write(folder, name, text):
@@ -128,26 +128,52 @@ def test_validate_keeps_every_row(spark):
     assert accepted.count() + refused.agg(F.sum("_copies")).first()[0] == 1000
 
 
+FIELDS = {"run_id": "r1", "as_of_date": "2026-06-30", "policy_version": "0.4"}
+
+
 def test_publish(spark, tmp_path):
     tables = {"big": spark.range(25), "small": spark.range(2)}
-    manifest = publish(spark, tables, str(tmp_path), {"run_id": "r1", "as_of_date": "2026-06-30", "policy_version": "0.4"}, 10)
+    manifest = publish(spark, tables, str(tmp_path), FIELDS, {"big": 3, "small": 1})
+    folder = tmp_path / manifest["folder"]
     assert manifest["rows"] == {"big": 25, "small": 2}
-    assert len(list((tmp_path / "big").glob("*.parquet"))) == 3 and len(list((tmp_path / "small").glob("*.parquet"))) == 1
+    assert len(list((folder / "big").glob("*.parquet"))) == 3 and len(list((folder / "small").glob("*.parquet"))) == 1
     assert {(r["table_name"], r["n_rows"], r["run_id"]) for r in read_manifest(spark, str(tmp_path)).collect()} == {
         ("big", 25, "r1"), ("small", 2, "r1")}
+    assert read_export(spark, str(tmp_path), "big").count() == 25
 
 
-def test_publish_refuses_a_changing_table(spark, tmp_path):
-    class Changing:
-        def count(self):
-            return 3
+def test_publish_that_fails_leaves_the_last_export(spark, tmp_path):
+    publish(spark, {"t": spark.range(3)}, str(tmp_path), FIELDS)
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        publish(spark, {"t": spark.range(9), "u": broken}, str(tmp_path), FIELDS)
+    assert read_export(spark, str(tmp_path), "t").count() == 3
 
-        def repartition(self, n):
-            return spark.range(2)
 
-    with pytest.raises(ValueError):
-        publish(spark, {"t": Changing()}, str(tmp_path), {})
-    assert not (tmp_path / "manifest").exists()
+def test_repeated_header_names(spark, tmp_path):
+    folder = tmp_path / "in"
+    write(folder, "a.csv", "id,,\n1,p,q\n")
+    write(folder, "b.csv", "id,x,x,x#2\n2,r,s,t\n")
+    path = write(folder, "c.csv", "x,id,id\nu,3,v\n")
+    found = by_id(read_strings(spark, path, ["id"]))
+    shown = {i: {k: v for k, v in json.loads(r["_rescued_data"]).items() if k != "_file_path"} for i, r in found.items()}
+    assert shown == {"1": {"#2": "p", "#3": "q"}, "2": {"x#2": "r", "x#3": "s", "x#2#4": "t"}, "3": {"x": "u", "id#3": "v"}}
+
+
+def test_stream_of_files_by_column_name(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    path = write(folder, "a.csv", "id,name\n1,x\n")
+
+    def run():
+        stream_strings(spark, path, ["id", "name"], lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"),
+                       str(tmp_path / "ck"))
+        return by_id(spark.read.parquet(out))
+
+    assert run()["1"]["name"] == "x"
+    write(folder, "b.csv", "name,id,extra\ny,2,e\nz,3,f,g\n")
+    again = run()
+    assert again["2"]["name"] == "y" and json.loads(again["2"]["_rescued_data"])["extra"] == "e"
+    assert json.loads(again["3"]["_rescued_data"])["_malformed"] == "z,3,f,g" and len(run()) == 3
 
 
 def test_policy_from_files_equals_the_built_in_one(spark, tmp_path, rows):
