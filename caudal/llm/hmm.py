@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from caudal.llm.common import fold, read_documents, row_map
 from caudal.session import checkpointed
 
-FREQUENT = 20_000
+FREQUENT = 20_000  # with the classes, symbols fit in two bytes
 KNOWN = 1_000_000
 CLASSES = 64
 STATES = 8
@@ -190,19 +190,22 @@ class Chain:
             back = arriving @ self.step.T
 
 
-def expected_counts(docs: DataFrame, model: tuple[Vocabulary, Chain]) -> DataFrame:
-    """_symbol, _counts (by state); transitions from state s are symbol -2 - s, starts are symbol -1.
+def unpacked(values: Sequence[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(v, np.uint16) for v in values]
+
+
+def expected_counts(coded: DataFrame, chain: Chain) -> DataFrame:
+    """_symbol, sums by state; transitions from state s are symbol -2 - s, starts are symbol -1.
 
     Each task sums its rows; the sums by symbol are Spark's.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
-        vocabulary, chain = shared.value
-        lookup = Lookup(vocabulary)
+        chain = shared.value
         emit, step, start = np.zeros_like(chain.emit), np.zeros((STATES, STATES)), np.zeros(STATES)
         for batch in batches:
-            texts = [lookup.entries(tokens(t))["symbol"] for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            texts = unpacked(batch.column(0).to_pylist())
             for chosen in chain.batches(texts):
                 chain.expected([texts[i] for i in chosen], emit, step, start)
         used = np.flatnonzero(emit.any(axis=1))
@@ -212,19 +215,22 @@ def expected_counts(docs: DataFrame, model: tuple[Vocabulary, Chain]) -> DataFra
             [pa.array(numbers, pa.int64()), pa.array(list(rows), pa.list_(pa.float64()))], ["_symbol", "_counts"]
         )
 
-    parts = docs.select("_text").mapInArrow(run, "_symbol long, _counts array<double>")
+    parts = coded.select("_symbols").mapInArrow(run, "_symbol long, _counts array<double>")
     sums = [F.sum(F.col("_counts")[s]).alias(f"_s{s}") for s in range(STATES)]
     return parts.groupBy("_symbol").agg(*sums)
 
 
-def baum_welch(docs: DataFrame, vocabulary: Vocabulary, totals: np.ndarray, rounds: int = ROUNDS) -> Chain:
-    """``totals``: occurrences of each symbol. The driver holds arrays of (symbols, states) only."""
+def baum_welch(coded: DataFrame, totals: np.ndarray, rounds: int = ROUNDS) -> Chain:
+    """``coded`` has the _symbols of the learning rows, ``totals`` the occurrences of each symbol.
+
+    The driver holds arrays of (symbols, states) only.
+    """
     chain = Chain.initial(totals)
     for _ in range(rounds):
         # one occurrence in all, spread over symbols and states, keeps every symbol possible
         emit = np.tile(((totals + 1) / (totals + 1).sum())[:, None], (1, STATES))
         step, start = np.full((STATES, STATES), 1e-3), np.full(STATES, 1e-3)
-        for row in expected_counts(docs, (vocabulary, chain)).collect():
+        for row in expected_counts(coded, chain).collect():
             values = np.array(row[1:])
             if row[0] >= 0:
                 emit[row[0]] += values
@@ -249,36 +255,55 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[DataFrame, int]:
     return counts.filter(F.col("_c") >= least), least
 
 
-def score_known(docs: DataFrame, kind: str, vocabulary: Vocabulary, chain: Chain, class_room: np.ndarray) -> DataFrame:
-    """_row, _id, _n, _known, _base, _chain for (_row, _id, _text), and _rare: the words whose counts tasks lack."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, chain, class_room))
+def code(docs: DataFrame, kind: str, vocabulary: Vocabulary, class_room: np.ndarray) -> DataFrame:
+    """For rows _row, _id, _learn, _text, in one pass over the texts:
+
+    _n tokens, _known of them in the vocabulary, their summed logs (_base), those of rare words within
+    their classes (_in_class), the _symbols (two bytes each), and _rare: words whose counts tasks lack.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, class_room))
 
     def make():
-        vocabulary, chain, class_room = shared.value
+        vocabulary, class_room = shared.value
         lookup = Lookup(vocabulary)
 
-        def rows(numbers, ids, texts):
-            words = [tokens(t) for t in texts]
-            entries = [lookup.entries(w) for w in words]
-            chains = np.zeros(len(texts))
-            for chosen in chain.batches(entries):
-                chains[chosen] = chain.forward([entries[i]["symbol"] for i in chosen], keep=False)[0]
-            out = []
-            for number, i, own, found, likelihood in zip(numbers, ids, words, entries, chains):
-                classes = found["symbol"] - vocabulary.frequent
-                logs = float(found["log"].sum())
-                in_class = float(found["log"][classes >= 0].sum() - class_room[classes[classes >= 0]].sum())
-                unknown = np.flatnonzero(found["known"] == 0)
-                rare = Counter(own[k] for k in unknown)
-                out.append((number, i, len(own), len(own) - len(unknown), logs, float(likelihood) + in_class,
-                            [{"word": w, "times": n} for w, n in rare.items()]))
-            return out
+        def row(number, i, learn, text):
+            words = tokens(text)
+            found = lookup.entries(words)
+            classes = found["symbol"] - vocabulary.frequent
+            in_class = float(found["log"][classes >= 0].sum() - class_room[classes[classes >= 0]].sum())
+            unknown = np.flatnonzero(found["known"] == 0)
+            rare = Counter(words[k] for k in unknown)
+            return (number, i, learn, len(words), len(words) - len(unknown), float(found["log"].sum()), in_class,
+                    found["symbol"].astype(np.uint16).tobytes(),
+                    [{"word": w, "times": n} for w, n in rare.items()])
+
+        return lambda *columns: list(map(row, *columns))
+
+    schema = (f"_row long, _id {kind}, _learn boolean, _n long, _known long, _base double, _in_class double, "
+              "_symbols binary, _rare array<struct<word:binary,times:long>>")
+    return row_map(docs, ["_row", "_id", "_learn", "_text"], schema, make)
+
+
+def likelihoods(coded: DataFrame, chain: Chain) -> DataFrame:
+    """_id, _row and _chain, the log10 likelihood of the symbols, with the other columns but _symbols and _rare."""
+    shared = coded.sparkSession.sparkContext.broadcast(chain)
+    columns = ["_row", "_id", "_n", "_known", "_base", "_in_class", "_symbols"]
+    kind = coded.schema["_id"].dataType.simpleString()
+
+    def make():
+        chain = shared.value
+
+        def rows(*values):
+            texts, out = unpacked(values[-1]), np.zeros(len(values[-1]))
+            for chosen in chain.batches(texts):
+                out[chosen] = chain.forward([texts[i] for i in chosen], keep=False)[0]
+            return list(zip(*values[:-1], out.tolist()))
 
         return rows
 
-    schema = (f"_row long, _id {kind}, _n long, _known long, _base double, _chain double, "
-              "_rare array<struct<word:binary,times:long>>")
-    return row_map(docs, ["_row", "_id", "_text"], schema, make)
+    schema = f"_row long, _id {kind}, _n long, _known long, _base double, _in_class double, _chain double"
+    return row_map(coded, columns, schema, make)
 
 
 def score(docs: DataFrame, learning: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,12 +328,15 @@ def score(docs: DataFrame, learning: Column, doc_id: str = "doc_id", text: str =
     for word, c in zip(words[vocabulary.frequent :], word_counts[vocabulary.frequent :]):
         sizes[word_class(word)] += c, 1
     totals = np.concatenate([word_counts[: vocabulary.frequent], sizes[:, 0]]).astype(float)
-    chain = baum_welch(train, vocabulary, totals)
-    named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    numbered = named.withColumn("_row", F.monotonically_increasing_id())
-    rows = checkpointed(score_known(numbered, kind, vocabulary, chain, np.log10(sizes.sum(axis=1) + 1)))
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"),
+        F.coalesce(learning, F.lit(False)).alias("_learn"), F.col(text).alias("_text"),
+    )
+    coded = checkpointed(code(numbered, kind, vocabulary, np.log10(sizes.sum(axis=1) + 1)))
+    chain = baum_welch(coded.filter("_learn"), totals)
+    rows = likelihoods(coded, chain)
     looked_up = (
-        rows.select("_row", F.explode("_rare").alias("_r"))
+        coded.select("_row", F.explode("_rare").alias("_r"))
         .select("_row", F.col("_r.word").alias("_word"), F.col("_r.times").alias("_times"))
         .join(rare, "_word", "left")
         .groupBy("_row")
@@ -324,7 +352,7 @@ def score(docs: DataFrame, learning: Column, doc_id: str = "doc_id", text: str =
         (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("_base") + logs - F.col("_n") * F.lit(room)).alias("base_score"),
-        (F.col("_chain") + logs).alias("score"),
+        (F.col("_chain") + F.col("_in_class") + logs).alias("score"),
     )
 
 
