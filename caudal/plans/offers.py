@@ -116,7 +116,10 @@ def recalculate(profile: DataFrame, declarations: DataFrame, policy: Policy) ->
 
 
 def accepted_offers(offers: DataFrame, acceptances: DataFrame, policy: Policy) -> DataFrame:
-    """One record of 42 columns per acceptance, ready for a validated append.
+    """One record per acceptance, none left out: 42 columns and ``refusal_reasons``.
+
+    An acceptance of an unknown, unavailable or no longer valid option has reasons and mostly
+    NULLs; ``offer_rules`` refuses it.
 
     ``offers`` are options with the ``CARRY`` columns; ``acceptances`` has offer_id,
     customer_id, option_code, term_months, accepted_amount_usd, session_id,
@@ -154,7 +157,16 @@ def accepted_offers(offers: DataFrame, acceptances: DataFrame, policy: Policy) -
         "created_at": F.col("accepted_at"),
         "updated_at": F.lit(None),
     })
-    return record.select(*[F.col(n).cast(t).alias(n) for n, t, _ in offer_columns()])
+    known = F.col("product_code").isNotNull()
+    reasons = F.array_compact(F.array(
+        F.when(~known, F.lit("unknown_option")),
+        F.when(known & ~F.coalesce("is_available", F.lit(False)), F.lit("unavailable_option")),
+        F.when(amount < F.col("option_min_amount_usd"), F.lit("below_minimum")),
+        F.when(amount > F.col("option_max_amount_usd"), F.lit("above_maximum")),
+    ))
+    return record.select(
+        *[F.col(n).cast(t).alias(n) for n, t, _ in offer_columns()], reasons.alias("refusal_reasons")
+    )
 
 
 def offer_columns() -> list[tuple[str, str, bool]]:
@@ -169,6 +181,10 @@ def offer_rules(policy: Policy) -> dict:
         pk=["offer_id"],
         required=[name for name, _, required in offer_columns() if required],
         checks={
+            "unknown_option": "NOT array_contains(refusal_reasons, 'unknown_option')",
+            "unavailable_option": "NOT array_contains(refusal_reasons, 'unavailable_option')",
+            "below_minimum": "NOT array_contains(refusal_reasons, 'below_minimum')",
+            "above_maximum": "NOT array_contains(refusal_reasons, 'above_maximum')",
             "valid_status": "status IN ('accepted', 'handed_off', 'expired', 'cancelled')",
             "valid_offer_origin": "offer_origin IN ('proactive', 'customer_interest')",
             "positive_amounts":

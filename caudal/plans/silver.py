@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from caudal.operators.cleanse import apply_cast_spec
 from caudal.operators.dedup import latest_by_key, not_null
 
 
-def typed_rows(bronze: DataFrame, entity: str) -> DataFrame:
-    """Cast and clean every row that has a key; duplicates are kept."""
+def typed_rows(
+    bronze: DataFrame, entity: str, keep: Sequence[str] = ("_bronze_ingested_at",), keyless: bool = False
+) -> DataFrame:
+    """Cast and clean every row that has a key, or all with ``keyless``; duplicates are kept."""
     spec = ENTITIES[entity]
     df = bronze.withColumns({c: F.trim(c) for c in spec.trim})
     if entity == "transactions":
@@ -24,7 +28,8 @@ def typed_rows(bronze: DataFrame, entity: str) -> DataFrame:
                 "amount_usd", F.when(F.col("currency") == "USD", F.col("amount"))
             ),
         })
-    return not_null(apply_cast_spec(df, spec.types, keep=["_bronze_ingested_at"]), spec.key)
+    typed = apply_cast_spec(df, spec.types, keep=keep)
+    return typed if keyless else not_null(typed, spec.key)
 
 
 def silver(bronze: DataFrame, entity: str) -> DataFrame:

@@ -12,6 +12,7 @@ import time
 import duckdb
 
 from caudal.session import local_session
+import testbed.more_queries  # noqa: F401  registers its queries
 from testbed.queries import ORACLE, QUERIES
 from testbed.recast import TABLES
 

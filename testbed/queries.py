@@ -645,7 +645,8 @@ _RECORD = f"""
       amt AS amount_usd, {rnd('inst_now', 2)} AS monthly_installment_usd, {rnd('dti', 4)} AS debt_to_income_after,
       CASE WHEN offer_mode = 'proactive' THEN 'proactive' ELSE 'customer_interest' END AS offer_origin,
       CASE WHEN oc > 0 THEN 'F04_OPEN_COMPLAINTS' ELSE '' END AS flags, DATE '2026-07-31' AS valid_until,
-      concat_ws(',', CASE WHEN amt <= 0 THEN 'positive_amounts' END, CASE WHEN dti > 2e-1 + 1e-9 THEN 'within_debt_limit' END) AS broken
+      concat_ws(',', CASE WHEN amt < option_min_amount_usd THEN 'below_minimum' END, CASE WHEN amt > option_max_amount_usd THEN 'above_maximum' END,
+        CASE WHEN amt <= 0 THEN 'positive_amounts' END, CASE WHEN dti > 2e-1 + 1e-9 THEN 'within_debt_limit' END) AS broken
     FROM (SELECT *, {installment('amt', 'offer_rate_pct', 'term_months')} AS inst_now,
         (debt_now + {installment('amt', 'offer_rate_pct', 'term_months')}) / income_used_usd AS dti
       FROM (SELECT *, offer_max_amount_usd * (CASE WHEN term_months >= 240 THEN 2e0 WHEN term_months = 36 THEN -1e0 ELSE 9e-1 END) AS amt
