@@ -92,20 +92,20 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     the list of rows to drop in a shuffle join.
     """
     found = group_copies(docs, doc_id, text)
-    digest, keep = unused(docs.columns, "_digest_of"), unused(docs.columns, "_keep_of")
+    digest, keep, own, same = (unused(docs.columns, n) for n in ("_digest_of", "_keep_of", "_own_id", "_same"))
     keyed = docs.withColumn(digest, text_digest(F.col(text)))
     hot = found.hot.select(F.col("_digest").alias(digest), F.col("_keep._id").alias(keep))
     cold = found.cold.select(F.col("_digest").alias(digest), F.col("_keep._id").alias(keep), "_n")
     drop = (
-        keyed.select(F.col(doc_id).alias("_id"), digest)
+        keyed.select(F.col(doc_id).alias(own), digest)
         .join(F.broadcast(hot), digest, "left_anti")
         .join(cold.filter("_n > 1"), digest)
-        .filter(~F.col("_id").eqNullSafe(F.col(keep)))
-        .select(F.col(digest).alias("_d"), F.col("_id"))
+        .filter(~F.col(own).eqNullSafe(F.col(keep)))
+        .select(F.col(digest).alias(same), own)
     )
     of_hot = keyed.join(F.broadcast(hot), digest).filter(F.col(doc_id).eqNullSafe(F.col(keep))).drop(keep)
     of_cold = keyed.join(F.broadcast(hot), digest, "left_anti").join(
-        drop, (F.col(digest) == F.col("_d")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti"
+        drop, (F.col(digest) == F.col(same)) & F.col(doc_id).eqNullSafe(F.col(own)), "left_anti"
     )
     repeated = (
         found.hot.unionByName(found.cold)
