@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +41,14 @@ def validate(
             F.when(F.col("_known"), F.array_append("_violations", F.lit("duplicate key")))
             .otherwise(F.col("_violations")),
         ).drop("_known")
+    judged = checkpointed(judged)  # read for the accepted, the refused and the spare rows
     good = judged.filter(F.size("_violations") == 0)
     accepted = latest_by_key(good.select(*columns), pk, [])
     # matched on the whole row, so that rows of a frequent key are spread
-    winner = accepted.select(*[F.col(c).alias(f"_w_{c}") for c in columns], F.lit(1).alias("_winner"))
-    same = reduce(and_, (good[c].eqNullSafe(winner[f"_w_{c}"]) for c in columns))
+    row = F.md5(F.to_json(F.struct(*columns)))
+    winner = accepted.select(row.alias("_same"), F.lit(1).alias("_winner"))
     spare = (
-        good.join(winner, same, "left")
+        good.withColumn("_same", row).join(winner, "_same", "left")
         .withColumn("_copies", F.col("_copies") - F.coalesce("_winner", F.lit(0)))
         .filter("_copies > 0")
         .withColumn("_violations", F.array(F.lit("duplicate key")))
