@@ -35,6 +35,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from caudal.llm.common import fold, read_documents, row_map
 from caudal.session import checkpointed
@@ -194,6 +196,24 @@ def unpacked(values: Sequence[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(v, np.uint16) for v in values]
 
 
+def gathered(batches, symbols: int = 0, most: int = 8 * BATCH_TOKENS):
+    """Columns of several Arrow batches as lists, up to ``most`` symbols at a time.
+
+    Texts of like length are recursed together, which pays the more texts there are to choose from.
+    """
+    columns, size = None, 0
+    for batch in batches:
+        columns = columns or [[] for _ in batch.columns]
+        for own, new in zip(columns, batch.columns):
+            own += new.to_pylist()
+        size += batch.column(symbols).nbytes // 2
+        if size >= most:
+            yield columns
+            columns, size = None, 0
+    if columns and columns[0]:
+        yield columns
+
+
 def expected_counts(coded: DataFrame, chain: Chain) -> DataFrame:
     """_symbol, sums by state; transitions from state s are symbol -2 - s, starts are symbol -1.
 
@@ -204,8 +224,8 @@ def expected_counts(coded: DataFrame, chain: Chain) -> DataFrame:
     def run(batches):
         chain = shared.value
         emit, step, start = np.zeros_like(chain.emit), np.zeros((STATES, STATES)), np.zeros(STATES)
-        for batch in batches:
-            texts = unpacked(batch.column(0).to_pylist())
+        for values in gathered(batches):
+            texts = unpacked(values[0])
             for chosen in chain.batches(texts):
                 chain.expected([texts[i] for i in chosen], emit, step, start)
         used = np.flatnonzero(emit.any(axis=1))
@@ -291,19 +311,19 @@ def likelihoods(coded: DataFrame, chain: Chain) -> DataFrame:
     columns = ["_row", "_id", "_n", "_known", "_base", "_in_class", "_symbols"]
     kind = coded.schema["_id"].dataType.simpleString()
 
-    def make():
-        chain = shared.value
+    schema = f"_row long, _id {kind}, _n long, _known long, _base double, _in_class double, _chain double"
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-        def rows(*values):
+    def run(batches):
+        chain = shared.value
+        for values in gathered(batches, len(columns) - 1):
             texts, out = unpacked(values[-1]), np.zeros(len(values[-1]))
             for chosen in chain.batches(texts):
                 out[chosen] = chain.forward([texts[i] for i in chosen], keep=False)[0]
-            return list(zip(*values[:-1], out.tolist()))
+            arrays = [pa.array(v, type=f.type) for v, f in zip([*values[:-1], out.tolist()], target)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-        return rows
-
-    schema = f"_row long, _id {kind}, _n long, _known long, _base double, _in_class double, _chain double"
-    return row_map(coded, columns, schema, make)
+    return coded.select(*columns).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, learning: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
