@@ -38,7 +38,7 @@ BLOCK = 2048
 GROUP_ROWS = 20_000
 EVERY = 1 << 30
 RANKS = ((1, 1), (2, 16), (17, EVERY))
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 

@@ -38,7 +38,7 @@ FIT_ROWS = 8000
 TELLING_WORDS = 256
 LEAST_DOCUMENTS = 8
 LEAST_DEVIATIONS = 6.0
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 ENTRY = np.dtype([
     ("hash", "u8"), ("length", "u2"), ("letters", "u2"), ("upper", "u1"), ("symbols", "u1"),
     ("table", "u1"), ("shout", "u1"), ("digit", "u1"), ("telling", "u1"), ("pad", "u2"),

@@ -14,10 +14,17 @@ from caudal.llm import exact_dedup, minhash, packing, pii, quality
 from caudal.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
+BATCH_ROWS = 1000
+"""Documents a Python worker holds at a time; Spark's default of 10,000 is meant for short rows."""
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of being good is below one half go."""
+    small_batches(spark)
     evidence = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.acceptable())
     return quality.keep(docs, evidence, F.col("source"), F.col("lang"))
 
@@ -29,16 +36,19 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles of similarity 0.8 or more, the one with the least id stays."""
+    small_batches(spark)
     return minhash.drop_near_duplicates(docs, size=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; ``n_chars`` is counted anew."""
+    small_batches(spark)
     return pii.redact(docs, pii.fit(pii.labelled_windows(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document with its place in a sequence of at most 1024 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
 
