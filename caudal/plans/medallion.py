@@ -20,12 +20,13 @@ from caudal.plans.summaries import (
     case_context, cashflow_summary, complaints_summary, products_summary,
 )
 from caudal.quality.gate import record_and_gate
-from caudal.quality.metrics import gold_metrics, source_metrics
+from caudal.quality.metrics import case_metrics, gold_metrics, source_metrics
 from caudal.sinks.publish import publish
 from caudal.sinks.tables import rebuild
 from caudal.sources.files import read_strings
 
 PROFILE, OPTIONS = "customer_credit_profile", "customer_credit_offer_options"
+CASES = "customer_case_context"
 POLICY_TABLES = (
     "ref_product_catalog", "ref_term_grid", "ref_policy_params", "ref_policy_bands",
     "ref_segment_adjustments",
@@ -97,9 +98,9 @@ def build_summaries(
         "customer_cashflow_summary": cashflow_summary(clean["transactions"], fx),
     }
     cases = case_context(clean["complaints"], clean["call_center_interactions"], policy)
-    for name, df in {**plans, "customer_case_context": cases}.items():
+    for name, df in {**plans, CASES: cases}.items():
         rebuild(df, f"{base}/gold/{name}")
-    return _tables(spark, f"{base}/gold", list(plans))
+    return _tables(spark, f"{base}/gold", [*plans, CASES])
 
 
 def check_and_publish(
@@ -112,7 +113,10 @@ def check_and_publish(
     run_id: str = "",
 ) -> dict:
     """Gold gate, then the export; nothing is published after a failure."""
-    metrics = gold_metrics(credit[PROFILE], credit[OPTIONS], summaries, clean["customers"], policy)
+    sums = {n: df for n, df in summaries.items() if n != CASES}
+    metrics = gold_metrics(credit[PROFILE], credit[OPTIONS], sums, clean["customers"], policy)
+    if CASES in summaries:
+        metrics = metrics.unionByName(case_metrics(summaries[CASES], policy))
     record_and_gate(spark, metrics, f"{base}/gold/pipeline_quality_metrics", ("gold",), run_id)
     tables = {**credit, **{n: policy.tables[n] for n in POLICY_TABLES}}
     return publish(spark, tables, f"{base}/exports", {
@@ -144,10 +148,11 @@ def refresh_policy(
     policy_tables: Mapping[str, DataFrame],
     as_of: str = "",
     run_id: str = "",
+    sources: Sequence[str] = tuple(ENTITIES),
 ) -> dict:
-    """Rebuild profile, options, checks and export for another cutoff or policy; sources stay."""
+    """Rebuild profile, options, checks and export for another cutoff or policy; ``sources`` stay."""
     policy = resolve_policy(dict(policy_tables), as_of)
-    clean = _tables(spark, f"{base}/silver", tuple(ENTITIES))
+    clean = _tables(spark, f"{base}/silver", tuple(sources))
     credit = build_credit(spark, clean, policy, base)
     summaries = _tables(spark, f"{base}/gold", (
         "customer_products_summary", "customer_complaints_summary", "customer_cashflow_summary"))

@@ -184,12 +184,26 @@ def option_metrics(options: DataFrame, profile: DataFrame, policy: Policy) -> Da
     ])
 
 
+# metric names and threshold texts are fixed values, as published
 def duplicate_customers(summary: DataFrame, name: str) -> DataFrame:
     found = summary.agg((F.count(F.lit(1)) - F.count_distinct("customer_id")).alias("extra"))
     return _rows(found, [_metric("gold", name, "duplicate_customer_rows", F.col("extra"), "= 0",
                                  F.col("extra") == 0)])
 
 
+def case_metrics(cases: DataFrame, policy: Policy) -> DataFrame:
+    """Each case once, none opened after the cutoff."""
+    name = "customer_case_context"
+    found = cases.agg(
+        (F.count(F.lit(1)) - F.count_distinct("case_source", "case_id")).alias("extra"),
+        F.count_if(F.col("opened_on") > policy.cutoff).alias("late"),
+    )
+    return _rows(found, [
+        _metric("gold", name, "duplicate_case_rows", F.col("extra"), "= 0", F.col("extra") == 0),
+        _metric("gold", name, "cases_after_cutoff", F.col("late"), "= 0", F.col("late") == 0),
+    ])
+
+
 def gold_metrics(
     profile: DataFrame,
     options: DataFrame,

@@ -12,13 +12,16 @@ from caudal.operators.scd import scd2
 from caudal.plans import policy as pol
 from caudal.plans import summaries
 from caudal.plans.incremental import read_snapshot, run_incremental
+from caudal.plans.medallion import build_summaries, refresh_policy
 from caudal.plans.offers import CARRY, accepted_offers, undeclared
 from caudal.plans.options import offer_options
 from caudal.plans.profile import credit_profile
 from caudal.quality.contract import contract_columns, contract_metrics, contract_violations
+from caudal.quality.metrics import case_metrics
 from caudal.quality.gate import QualityGateError, record_and_gate
 from caudal.session import checkpointed, scratch_path
 from caudal.sinks.constrained import validated_append
+from caudal.sinks.publish import read_manifest
 from caudal.sinks.tables import rebuild
 from caudal.sources.files import read_files, read_strings
 from caudal.streaming.history import read_history, scd_merge
@@ -336,3 +339,35 @@ def _(spark, sf):
         "n_rows",
         F.assert_true(F.col("_distinct") == F.col("n_rows"), "duplicate transaction").cast("string").alias("keys_are_unique"),
         F.assert_true(F.col("_present") == F.col("n_rows"), "transaction without key").cast("string").alias("keys_are_complete"))
+
+
+@case("case_metrics", query(f"""
+    SELECT 'gold' AS layer, 'customer_case_context' AS table_name, metric, 0e0 AS value, '= 0' AS threshold, 'ok' AS status
+    FROM (VALUES ('duplicate_case_rows'), ('cases_after_cutoff')) AS m(metric)
+    WHERE (SELECT count(*) FROM silver_complaints) >= 0"""))
+def _(spark, sf):
+    policy = policy_of(spark)
+    cases = summaries.case_context(clean(spark, sf, "complaints"), clean(spark, sf, "call_center_interactions"), policy)
+    return case_metrics(cases, policy)
+
+
+@case("refresh_run", query(f"""
+    SELECT table_name, {big('n')} AS n_rows, '2026-03-31' AS as_of_date FROM (
+      SELECT 'customer_credit_profile' AS table_name, count(*) AS n FROM silver_customers
+      UNION ALL SELECT 'customer_credit_offer_options', count(*) * 12 FROM silver_customers
+      UNION ALL SELECT 'ref_product_catalog', count(*) FROM ref_product_catalog
+      UNION ALL SELECT 'ref_term_grid', count(*) FROM ref_term_grid
+      UNION ALL SELECT 'ref_policy_params', count(*) FROM ref_policy_params
+      UNION ALL SELECT 'ref_policy_bands', count(*) FROM ref_policy_bands
+      UNION ALL SELECT 'ref_segment_adjustments', count(*) FROM ref_segment_adjustments)"""))
+def _(spark, sf):
+    """A policy refresh on stored clean tables: profile, options, gate, and the whole export."""
+    base = scratch_path(spark, "refresh")
+    stored = gold_inputs(spark, sf)
+    for name, df in stored.items():
+        df.write.parquet(f"{base}/silver/{name}")
+    policy = policy_of(spark)
+    tables = {n: spark.read.parquet(f"{base}/silver/{n}") for n in stored}
+    build_summaries(spark, {**tables, "call_center_interactions": clean(spark, sf, "call_center_interactions")}, policy, base)
+    refresh_policy(spark, base, pol.policy_tables(spark), "2026-03-31", "r1", sources=list(stored))
+    return read_manifest(spark, f"{base}/exports").select("table_name", "n_rows", "as_of_date")

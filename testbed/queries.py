@@ -705,18 +705,27 @@ def _(spark, sf):
     return show(df, {c: 2 for c in df.columns if c.endswith("_usd_90d")})
 
 
+# The rule: open cases are complaints that are not settled, of any age up to the cutoff, and contacts of the
+# 90 days up to the cutoff that were left unresolved, need more work, and led to no complaint.
 @case("case_context", query("""
-    SELECT *, CAST({as_of} - opened_on AS INTEGER) AS days_open, {as_of} AS as_of_date FROM (
+    SELECT * FROM (WITH settled(status) AS (VALUES ('Resolved'), ('Closed'), ('Rejected')),
+    led_to_complaint AS (SELECT DISTINCT origin_interaction_id AS interaction_id FROM silver_complaints WHERE origin_interaction_id IS NOT NULL),
+    cases AS (
       SELECT customer_id, 'complaint' AS case_source, complaint_id AS case_id, CAST(creation_date AS DATE) AS opened_on,
-        reception_channel AS channel, category, case_type, priority, status, status = 'Escalated' AS is_escalated,
-        coalesce(sla_breached, false) AS sla_breached, NULL AS sentiment, coalesce(is_repeat_complainer, false) AS is_repeat_complainer
-      FROM silver_complaints WHERE status IN ('Open', 'In Process', 'Escalated') AND CAST(creation_date AS DATE) <= {as_of}
-      UNION ALL
-      SELECT i.customer_id, 'interaction', i.interaction_id, CAST(i.interaction_date AS DATE), i.channel, i.reason_category, NULL, NULL,
-        'Unresolved', coalesce(i.was_escalated, false), false, i.detected_sentiment, false
-      FROM silver_call_center_interactions i LEFT JOIN silver_complaints c ON c.origin_interaction_id = i.interaction_id
-      WHERE c.complaint_id IS NULL AND i.was_resolved = false AND (i.requires_followup OR i.was_escalated)
-        AND CAST(i.interaction_date AS DATE) BETWEEN {as_of} - 89 AND {as_of})"""))
+        reception_channel AS channel, category, case_type, priority, status, sla_breached, is_repeat_complainer, NULL AS sentiment,
+        CAST(status = 'Escalated' AS BOOLEAN) AS is_escalated
+      FROM silver_complaints ANTI JOIN settled USING (status) WHERE status IS NOT NULL
+      UNION ALL BY NAME
+      SELECT customer_id, 'interaction' AS case_source, interaction_id AS case_id, CAST(interaction_date AS DATE) AS opened_on,
+        channel, reason_category AS category, 'Unresolved' AS status, detected_sentiment AS sentiment, was_escalated AS is_escalated
+      FROM silver_call_center_interactions ANTI JOIN led_to_complaint USING (interaction_id)
+      WHERE NOT was_resolved AND (coalesce(requires_followup, false) OR coalesce(was_escalated, false))
+        AND date_diff('day', CAST(interaction_date AS DATE), {as_of}) < 90)
+    SELECT customer_id, case_source, case_id, opened_on, channel, category, case_type, priority, status, sentiment,
+      coalesce(is_escalated, false) AS is_escalated, coalesce(sla_breached, false) AS sla_breached,
+      coalesce(is_repeat_complainer, false) AS is_repeat_complainer,
+      CAST(date_diff('day', opened_on, {as_of}) AS INTEGER) AS days_open, {as_of} AS as_of_date
+    FROM cases WHERE opened_on <= {as_of})"""))
 def _(spark, sf):
     return summaries.case_context(clean(spark, sf, "complaints"), clean(spark, sf, "call_center_interactions"), policy_of(spark))
 

@@ -162,7 +162,7 @@ def test_accepted_offer_record(spark, example, policy):
         "offer_id string, customer_id string, option_code string, term_months int, accepted_amount_usd double, "
         "session_id string, channel string, language string, accepted_at timestamp")
     record = offers.accepted_offers(options, taken, policy)
-    assert len(record.columns) == 42
+    assert len(record.columns) == 43 and record.first()["refusal_reasons"] == []
     row = record.first()
     assert row["monthly_installment_usd"] == 398.37 and row["debt_to_income_after"] == pytest.approx(0.19935, abs=1e-5)
     assert row["flags"] == [] and row["valid_until"] == date(2026, 7, 31) and row["offer_origin"] == "proactive"

@@ -39,7 +39,7 @@ def test_run_and_refresh(spark, landing, tmp_path):
     customers = spark.read.parquet(f"{base}/silver/customers").count()
     assert manifest["rows"]["customer_credit_offer_options"] == 12 * customers and manifest["as_of_date"] == "2026-06-30"
     metrics = spark.read.parquet(f"{base}/gold/pipeline_quality_metrics")
-    assert metrics.filter("layer <> 'gold'").count() == 79 and metrics.filter("layer = 'gold'").count() == 14
+    assert metrics.filter("layer <> 'gold'").count() == 79 and metrics.filter("layer = 'gold'").count() == 16
     again = refresh_policy(spark, base, tables, "2026-05-31", "r2")
     assert again["as_of_date"] == "2026-05-31" and again["rows"] == manifest["rows"]
     assert read_export(spark, f"{base}/exports", "customer_credit_profile").agg(F.max("as_of_date").cast("string")).first()[0] == "2026-05-31"
