@@ -69,9 +69,9 @@ class PrefixCounter:
         self.special_pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.split = regex.compile(PATTERN).findall
         self.meet: dict[tuple[bytes, bytes], bool] = {}
-        self.inner = _Chunks(lambda chunk: self._slow(" " + chunk))
+        self.inner = _Chunks(lambda chunk: self._slow(" " + chunk), 2 * CACHED_CHUNKS)
         self.first = _Chunks(self._slow)
-        self.pieces = _Chunks(self._count_piece)
+        self.pieces = _Chunks(self._count_piece, CACHED_CHUNKS // 4)
 
     def may_follow(self, left: bytes, right: bytes) -> bool:
         """Whether encoding ``left + right`` gives these two tokens."""
@@ -202,14 +202,14 @@ class PrefixCounter:
 class _Chunks(dict):
     """Results by chunk; emptied when full, so memory stays bounded whatever the corpus holds."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHED_CHUNKS // 4):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, chunk: str) -> bytes:
         made = self.make(chunk)
         if len(chunk) < 64:
-            if len(self) >= CACHED_CHUNKS:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = made
         return made
