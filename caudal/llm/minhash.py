@@ -9,9 +9,9 @@ shingle; no words, no set and no links.
 2. In each bucket of a band every node is compared with the bucket's least node. A pair is first
    verified on its signatures (8 bits of each minimum; five deviations below the threshold), then on
    the whole sets. Verified links give components.
-3. Buckets that still hold several components are searched for links between them: each node with
-   its most similar node of each other component, then with the next ones, then with all the rest that
-   signatures allow. Links inside a component are never looked
+3. Buckets that still hold several components are searched for links between them, each pair in the first
+   band it shares. Nodes with a partner that signatures allow get their whole sets, and links are
+   decided where the bucket is, most similar first; a task returns links only, no candidate pairs. Links inside a component are never looked
    for, so a bucket of many mutual near-copies costs no square of its size. Large buckets are
    searched in blocks of bounded size.
 
@@ -35,9 +35,7 @@ from caudal.session import checkpointed
 BANDS, ROWS = 32, 5
 SEED = 20
 BLOCK = 2048
-GROUP_ROWS = 20_000
-EVERY = 1 << 30
-RANKS = ((1, 1), (2, 16), (17, EVERY))
+GROUP_ROWS = 4000
 CACHED_WORDS = 150_000
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -184,11 +182,46 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return row_map(both, ["_a", "_b", "_left", "_right"], "_a long, _b long", make)
 
 
-def _across(members: DataFrame, first: int, last: int, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in a bucket that signatures allow.
+MEMBER = "_h long, _i long, _j long, _k int, _node long, _root long, _least long, _block long, _sketch binary, _bands array<long>"
 
-    A node gets its ``first`` to ``last`` most similar nodes of each other component. ``members``:
-    _h, _node, _root, _sketch, _size and _least of the bucket.
+
+def _partners(pdf: pd.DataFrame, least: float):
+    """For each node of a bucket's block pair: its row and, most similar first, rows it may be linked to.
+
+    Only pairs of different components whose signatures allow a link, and each pair in
+    the first band they share only. Pairs with the bucket's least node have been compared before.
+    """
+    sketch = np.frombuffer(b"".join(pdf["_sketch"]), np.uint8).reshape(len(pdf), -1)
+    bands = np.stack(pdf["_bands"].to_list())[:, : pdf["_k"].iloc[0]]
+    root, node, block = pdf["_root"].to_numpy(), pdf["_node"].to_numpy(), pdf["_block"].to_numpy()
+    i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
+    rest = node != pdf["_least"].iloc[0]
+    right = np.flatnonzero((block == j) & rest)
+    for x in np.flatnonzero((block == i) & rest):
+        others = right[root[right] != root[x]]
+        if i == j:
+            others = others[others > x]
+        if not len(others):
+            continue
+        score = _alike(sketch[x], sketch[others])
+        keep = score >= least
+        keep[keep] = ~(bands[others[keep]] == bands[x]).any(axis=1)
+        if keep.any():
+            yield x, others[keep][np.argsort(-score[keep], kind="stable")]
+
+
+def _by_bucket(pdf: pd.DataFrame):
+    pdf = pdf.sort_values(["_h", "_i", "_j", "_node"], ignore_index=True)
+    starts = np.flatnonzero((pdf[["_h", "_i", "_j"]].diff() != 0).any(axis=1).to_numpy())
+    for a, b in zip(starts, [*starts[1:], len(pdf)]):
+        yield pdf.iloc[a:b].reset_index(drop=True)
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (_a, _b) between components that share a bucket, no more than join the components there.
+
+    ``members``: _h, _k (band), _node, _root, _sketch, _bands, and _size and _least of the bucket. A
+    first pass finds the nodes with a partner that signatures allow; only these get their sets.
     """
     least = least_estimate(percent)
     blocks = F.ceil(F.col("_size") / BLOCK)
@@ -196,39 +229,40 @@ def _across(members: DataFrame, first: int, last: int, percent: int) -> DataFram
         members.withColumn("_block", F.pmod(F.xxhash64("_node"), blocks))
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .withColumn("_i", F.least("_block", "_other")).withColumn("_j", F.greatest("_block", "_other"))
+        .select(*(part.split()[0] for part in MEMBER.split(", ")))
     )
 
-    def in_block(pdf: pd.DataFrame, sketch: np.ndarray, out: list) -> None:
-        root, node, block = pdf["_root"].to_numpy(), pdf["_node"].to_numpy(), pdf["_block"].to_numpy()
-        i, j, centre = pdf["_i"].iloc[0], pdf["_j"].iloc[0], pdf["_least"].iloc[0]
-        rest = node != centre  # pairs with the least node have been compared
-        right = np.flatnonzero((block == j) & rest)
-        for x in np.flatnonzero((block == i) & rest):
-            others = right[root[right] != root[x]]
-            if not len(others):
-                continue
-            score = _alike(sketch[x], sketch[others])
-            others, score = others[score >= least], score[score >= least]
-            order = np.lexsort((node[others], -score, root[others]))
-            roots = root[others][order]
-            rank = np.arange(len(order)) - np.searchsorted(roots, roots, "left") + 1
-            for y in others[order[(rank >= first) & (rank <= last)]]:
-                out.append((min(node[x], node[y]), max(node[x], node[y])))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "_i", "_j", "_node"], ignore_index=True)
-        sketch = np.frombuffer(b"".join(pdf["_sketch"]), np.uint8).reshape(len(pdf), -1)
-        starts = np.flatnonzero((pdf[["_h", "_i", "_j"]].diff() != 0).any(axis=1).to_numpy())
-        out: list = []
-        for a, b in zip(starts, [*starts[1:], len(pdf)]):
-            in_block(pdf.iloc[a:b], sketch[a:b], out)
-        return pd.DataFrame(out, columns=["_a", "_b"]).astype("int64").drop_duplicates()
-
-    # many buckets to a group: a group of its own for each would cost more than the search
-    groups = max(1, -(-dealt.count() // GROUP_ROWS), int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_h", "_i", "_j"), F.lit(groups)))
-    dealt = dealt.repartition(groups, "_group")
-    return dealt.groupBy("_group").applyInPandas(search, "_a long, _b long").distinct()
+    def with_partner(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = [pdf.iloc[:0]]
+        for bucket in _by_bucket(pdf):
+            used = {int(row) for x, others in _partners(bucket, least) for row in (x, *others)}
+            if used:
+                kept.append(bucket.iloc[sorted(used)])
+        return pd.concat(kept)
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for bucket in _by_bucket(pdf):
+            node, found, root = bucket["_node"].to_numpy(), bucket["_set"].to_list(), bucket["_root"].to_numpy().copy()
+            for x, others in _partners(bucket, least):
+                for y in others:
+                    if root[x] == root[y]:
+                        continue  # linked meanwhile
+                    common = len(np.intersect1d(found[x], found[y], assume_unique=True))
+                    if common * 100 >= percent * (len(found[x]) + len(found[y]) - common):
+                        out.append((min(node[x], node[y]), max(node[x], node[y])))
+                        root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["_a", "_b"]).astype("int64")
+
+    return _grouped(checkpointed(_grouped(dealt, with_partner, MEMBER)).join(sets, "_node"), links, "_a long, _b long")
+
+
+def _grouped(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Many buckets to a group: a group of its own for each would cost more than the search."""
+    groups = max(1, -(-rows.count() // GROUP_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64("_h", "_i", "_j"), F.lit(groups)))
+    return dealt.repartition(groups, "_group").groupBy("_group").applyInPandas(
+        lambda pdf: work(pdf.drop(columns="_group")), schema)
 
 
 def near_duplicate_classes(
@@ -243,7 +277,7 @@ def near_duplicate_classes(
     )
     nodes = rows.join(classes.select(F.col("_node").alias("_row")), "_row", "left_semi")
     nodes = nodes.withColumnRenamed("_row", "_node")
-    banded = nodes.select("_node", F.explode("_bands").alias("_h"))
+    banded = nodes.select("_node", F.posexplode("_bands").alias("_k", "_h"))
     buckets = banded.groupBy("_h").agg(F.min("_node").alias("_least"), F.count(F.lit(1)).alias("_size"))
     members = checkpointed(banded.join(buckets.filter("_size > 1"), "_h"))
 
@@ -257,19 +291,13 @@ def near_duplicate_classes(
     links = checkpointed(_verify(likely, sets, percent))
     roots = connected_components(links)
 
-    crowded = members.filter("_size > 2")
-    for first, last in RANKS:
-        placed = crowded.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-        mixed = placed.groupBy("_h").agg(F.min("_root").alias("_r1"), F.max("_root").alias("_r2"))
-        open_members = placed.join(mixed.filter("_r1 != _r2").select("_h"), "_h", "left_semi")
-        sketched = checkpointed(open_members.join(nodes.select("_node", "_sketch"), "_node"))
-        more = checkpointed(_across(sketched, first, last, percent))
-        if more.isEmpty():
-            break
-        found = checkpointed(_verify(more, sets, percent))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = connected_components(links)
+    placed = members.filter("_size > 2").join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    mixed = placed.groupBy("_h").agg(F.min("_root").alias("_r1"), F.max("_root").alias("_r2"))
+    open_members = placed.join(mixed.filter("_r1 != _r2").select("_h"), "_h", "left_semi")
+    sketched = checkpointed(open_members.join(nodes.select("_node", "_sketch", "_bands"), "_node"))
+    more = checkpointed(_across(sketched, sets, percent))
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more))
 
     placed = classes.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     least = placed.groupBy("_root").agg(F.min("_least_id").alias("_component"))
