@@ -26,7 +26,10 @@ not read.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Sequence
 
@@ -85,6 +88,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return row_map(docs, ["_text"], "_word binary, _n long", make).groupBy("_word").agg(F.sum("_n").alias("_c"))
 
 
+PACKED = struct.Struct("<iid")
 ENTRY = np.dtype([("symbol", "i4"), ("known", "i4"), ("log", "f8")])
 
 
@@ -94,16 +98,18 @@ class Vocabulary:
     def __init__(self, words: Sequence[bytes], counts: np.ndarray):
         hashes = np.array([word_hash(w) for w in words], np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.rank = hashes[order], counts[order], order.astype(np.int32)
+        # arrays of the standard library: numpy is slow at single values
+        self.hashes = array("Q", hashes[order].tobytes())
+        self.counts, self.rank = array("q", counts[order].tobytes()), array("q", order.tobytes())
         self.frequent = min(FREQUENT, len(words))
         self.symbols = self.frequent + CLASSES
 
     def entry(self, word: bytes) -> tuple[int, int, float]:
         """Symbol; whether the count is known; log10 of the count plus 1, else 0."""
-        value = np.uint64(word_hash(word))
-        at = int(np.searchsorted(self.hashes, value))
+        value = word_hash(word)
+        at = bisect_left(self.hashes, value)
         if at < len(self.hashes) and self.hashes[at] == value:
-            rank = int(self.rank[at])
+            rank = self.rank[at]
             return rank if rank < self.frequent else self.frequent + word_class(word), 1, math.log10(self.counts[at] + 1)
         return self.frequent + word_class(word), 0, 0.0
 
@@ -116,7 +122,7 @@ class Lookup(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> bytes:
-        made = np.array(self.vocabulary.entry(word), ENTRY).tobytes()
+        made = PACKED.pack(*self.vocabulary.entry(word))
         if len(word) < 64:
             if len(self) >= CACHED_WORDS:
                 self.clear()
@@ -182,14 +188,16 @@ class Chain:
             n = active[t]
             if len(back) < n:  # texts that end here
                 back = np.concatenate([back, np.ones((n - len(back), STATES))])
-            at = kept[t] * back
-            np.add.at(emit, symbols[t], at)
+            kept[t], before = kept[t] * back, kept[t - 1]
             if t == 0:
-                start += at.sum(axis=0)
+                start += kept[t].sum(axis=0)
                 break
             arriving = self.emit[symbols[t]] * back / scales[t][:, None]
-            step += self.step * (kept[t - 1][:n].T @ arriving)
+            step += self.step * (before[:n].T @ arriving)
             back = arriving @ self.step.T
+        expected, all_symbols = np.concatenate(kept), np.concatenate(symbols)
+        for state in range(STATES):
+            emit[:, state] += np.bincount(all_symbols, expected[:, state], len(emit))
 
 
 def unpacked(values: Sequence[bytes]) -> list[np.ndarray]:
