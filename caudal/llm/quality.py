@@ -1,9 +1,16 @@
 """Quality decisions by hierarchical empirical Bayes: a document's own evidence and where it comes from.
 
-Evidence is a logistic regression, fitted in numpy on a bounded sample of labelled documents
-(``FIT_ROWS``, those with the least id hashes), over measures of the whole text: shares of repeated, upper-case,
-symbol-laden, tabular and shouting words, variety, lengths, and how many words it holds that the
-labelled sample shows to be typical of rejected documents.
+Evidence is a logistic regression for each cause of rejection (poor quality, toxicity), fitted in numpy on a
+bounded sample of labelled documents (``FIT_ROWS``, those with the least id hashes), over measures of the whole
+text: shares of repeated, upper-case, symbol-laden, tabular and shouting words, variety, lengths, and what its
+words say of the cause. A document is good if no cause holds, so the chances of being without each are multiplied.
+
+A word says as much as the strongest of its pieces: itself and its first ``STEMS`` letters, so that the inflected
+words of a rarer language count together. A piece has the log odds of the cause among the labelled documents
+that hold it against those of all, shrunk as by ``SHRINKAGE`` further documents at the common rate; no piece is
+left out for being rare. At most ``PIECES`` pieces of a cause are kept, those that deviate most. The regression
+sees labelled documents with weights from the other ``FOLDS`` - 1 folds only, as rare pieces would else repeat
+the label.
 
 Sites are two-level: a host and a path within it. The mean evidence of all documents gives a global
 rate of good documents; hosts shrink towards it, and paths towards their host, with strengths estimated by
@@ -23,6 +30,7 @@ kept; null ids and repeated rows are rows like others; an empty table gives an e
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -35,120 +43,236 @@ from caudal.llm.common import broadcast_if_small, read_documents, row_map, unuse
 from caudal.session import checkpointed
 
 FIT_ROWS = 8000
-TELLING_WORDS = 256
-LEAST_DOCUMENTS = 8
-LEAST_DEVIATIONS = 6.0
+STEMS = (4, 6, 8)
+SHRINKAGE = 2.0
+LEAST_WEIGHT = 0.5
+PIECES = 20_000
+FOLDS = 4
 CACHED_WORDS = 100_000
+COUNTED_DOCUMENTS = 250
 ENTRY = np.dtype([
     ("hash", "u8"), ("length", "u2"), ("letters", "u2"), ("upper", "u1"), ("symbols", "u1"),
-    ("table", "u1"), ("shout", "u1"), ("digit", "u1"), ("telling", "u1"), ("pad", "u2"),
+    ("table", "u1"), ("shout", "u1"), ("digit", "u1"), ("pad", "u1"), ("says", "f4", (2,)),
 ])
+CAUSES = 2
+PACKED = struct.Struct("<QHHBBBBBBff")
+"""``ENTRY`` as written for one word."""
 
 
 def plain(word: str) -> str:
     return "".join(filter(str.isalpha, word)).lower()
 
 
+def digest(piece: str) -> int:
+    return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) >> 1
+
+
+def pieces(letters: str) -> list[int]:
+    """Digests of a word and of its beginnings."""
+    if not letters:
+        return []
+    return [digest(letters), *(digest(letters[:k] + "-") for k in STEMS if len(letters) >= k)]
+
+
+class Pieces(dict):
+    """Digests of the pieces of words, as bytes; a bounded table."""
+
+    def __missing__(self, word: str) -> bytes:
+        made = np.array(pieces(plain(word)), "i8").tobytes()
+        if len(word) < 64:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = made
+        return made
+
+    def of(self, text: str) -> np.ndarray:
+        """Each piece of a text once."""
+        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, set(text.split()))), "i8"))
+
+
 class Measures(dict):
     """Measures of texts; a bounded table has what is known of each word."""
 
-    def __init__(self, telling: Sequence[str]):
+    def __init__(self, telling: Sequence[dict[int, float]]):
         super().__init__()
-        self.telling = frozenset(telling)
+        self.telling = telling
 
     def __missing__(self, word: str) -> bytes:
         letters = plain(word)
         tail = word[-2:]
-        made = np.array(
-            (
-                xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), min(len(word), 60_000),
-                min(len(letters), 60_000), len(letters) > 1 and word.upper() == word,
-                len(word) > 2 and len(set(tail)) == 1 and not tail[0].isalnum() and tail[0] != "!", word == "|",
-                tail == "!!", any(map(str.isdigit, word)), letters in self.telling, 0,
-            ),
-            ENTRY,
-        ).tobytes()
+        made = PACKED.pack(
+            xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), min(len(word), 60_000),
+            min(len(letters), 60_000), len(letters) > 1 and word.upper() == word,
+            len(word) > 2 and len(set(tail)) == 1 and not tail[0].isalnum() and tail[0] != "!", word == "|",
+            tail == "!!", any(map(str.isdigit, word)), 0, *self.says(letters),
+        )
         if len(word) < 64:
             if len(self) >= CACHED_WORDS:
                 self.clear()
             self[word] = made
         return made
 
+    def says(self, letters: str) -> list[float]:
+        """The weight of the strongest piece, for each cause."""
+        own = pieces(letters) if any(self.telling) else []
+        return [max((weights.get(p, 0.0) for p in own), default=0.0) for weights in self.telling]
+
     def of(self, text: str | None) -> list[float]:
         words = (text or "").split()
         n = max(1, len(words))
         e = np.frombuffer(b"".join(map(self.__getitem__, words)), ENTRY)
         repeated = float((e["hash"][1:] == e["hash"][:-1]).sum()) / n
         shares = [repeated, *(float(e[k].sum()) / n for k in ("upper", "symbols", "table", "shout", "digit"))]
-        telling = float(e["telling"].sum())
+        spoken = []
+        for c in range(CAUSES):
+            weights = e["says"][:, c]
+            total, squares = float(weights.sum(dtype=float)), float(np.square(weights).sum(dtype=float))
+            strongest = weights if len(weights) <= 3 else np.partition(weights, -3)[-3:]
+            spoken += [
+                float(strongest.max(initial=0.0)), float(strongest.sum()), min(10.0, total),
+                math.log1p(1000 * total / n), math.log1p(1000 * squares / n), math.log1p(squares),
+            ]
         length = float(e["length"].sum())
         return [
             *shares, *(float(s > 0.1) for s in shares), *(math.sqrt(s) for s in shares),
             math.log1p(len(words)), len(np.unique(e["hash"])) / n**0.8, length / n / 10,
-            1 - float(e["letters"].sum()) / max(1.0, length), float(telling > 0), min(3.0, telling),
-            math.log1p(1000 * telling / n), float(not len(words)),
+            1 - float(e["letters"].sum()) / max(1.0, length), *spoken, float(not len(words)),
         ]
 
 
 class Evidence:
-    """Logistic regression; ``base`` is the rate of good documents in its sample."""
+    """A logistic regression for each cause that has cases; ``base`` is the rate of good documents in its sample."""
 
-    def __init__(self, telling: Sequence[str], rows: np.ndarray, good: np.ndarray):
+    def __init__(self, telling: Sequence[dict[int, float]], rows: np.ndarray, causes: np.ndarray, good: np.ndarray):
         self.telling = list(telling)
         self.middle, self.scale = rows.mean(axis=0), rows.std(axis=0) + 1e-6
         x = np.hstack([(rows - self.middle) / self.scale, np.ones((len(rows), 1))])
+        self.weights = [self._fitted(x, 1 - bad) for bad in causes.T if 0 < bad.sum() < len(bad)]
+        self.base = float(good.mean())
+
+    @staticmethod
+    def _fitted(x: np.ndarray, good: np.ndarray) -> np.ndarray:
         ridge = np.eye(x.shape[1])
-        self.weights = np.zeros(x.shape[1])
+        weights = np.zeros(x.shape[1])
         for _ in range(25):  # Newton's method
-            p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             curve = (x * (p * (1 - p))[:, None]).T @ x + ridge
-            change = np.linalg.solve(curve, x.T @ (good - p) - ridge @ self.weights)
-            self.weights += change * min(1.0, 4.0 / (np.abs(change).max() + 1e-9))
-        self.base = float(good.mean())
+            change = np.linalg.solve(curve, x.T @ (good - p) - ridge @ weights)
+            weights += change * min(1.0, 4.0 / (np.abs(change).max() + 1e-9))
+        return weights
 
     def logit(self, measured: Sequence[Sequence[float]]) -> np.ndarray:
         x = (np.array(measured) - self.middle) / self.scale
-        return np.clip(x @ self.weights[:-1] + self.weights[-1], -12, 12)
+        good = np.zeros(len(x))  # log of the chance that no cause holds
+        for weights in self.weights:
+            good -= np.logaddexp(0, -np.clip(x @ weights[:-1] + weights[-1], -12, 12))
+        return np.clip(good - np.log(-np.expm1(np.minimum(good, -1e-12))), -12, 12)
+
+
+def weight(n: Column, bad: Column, rate: float) -> Column:
+    """Log odds of a cause among ``n`` documents of which ``bad`` have it, against ``rate``, shrunk."""
+    odds = (bad + SHRINKAGE * rate) / (n - bad + SHRINKAGE * (1 - rate))
+    return F.log(odds) - math.log(rate / (1 - rate))
+
+
+def _counted(texts: list[bytes | None], *marks: list[int]) -> list[tuple]:
+    """Piece, fold, documents that hold it, and those of them with each cause."""
+    words, rows = Pieces(), []
+    for start in range(0, len(texts), COUNTED_DOCUMENTS):
+        part = slice(start, start + COUNTED_DOCUMENTS)
+        held = [words.of((t or b"").decode()) for t in texts[part]]
+        fold, *causes = (np.repeat(m[part], list(map(len, held))) for m in marks)
+        key = np.concatenate(held)
+        order = np.lexsort((fold, key))
+        key, fold = key[order], fold[order]
+        first = np.flatnonzero(np.r_[len(key) > 0, (key[1:] != key[:-1]) | (fold[1:] != fold[:-1])][: len(key)])
+        if len(first):
+            sums = [np.add.reduceat(c[order], first) for c in causes]
+            n = np.diff(np.r_[first, len(key)])
+            rows += zip(*(a.tolist() for a in (key[first], fold[first], n, *sums)))
+    return rows
+
+
+def telling_pieces(sample: DataFrame) -> list[list[dict[int, float]]]:
+    """For each fold, weights of pieces from all other folds by cause; at last, those from all folds."""
+    marks = ["_fold", "_poor", "_toxic"]
+    found = row_map(
+        sample, ["_text", *marks], "piece long, fold int, n long, _poor long, _toxic long", lambda: _counted
+    )
+    sizes = np.zeros((FOLDS, 1 + CAUSES))
+    for r in sample.groupBy("_fold").agg(F.count(F.lit(1)), F.sum("_poor"), F.sum("_toxic")).collect():
+        sizes[r[0]] = r[1:]
+    total = sizes.sum(axis=0)
+    sums = [
+        F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}")
+        for f in range(FOLDS) for c in ("n", "_poor", "_toxic")
+    ]
+    totals = [F.sum(c).alias(c) for c in ("n", "_poor", "_toxic")]
+    counts = checkpointed(found.groupBy("piece").agg(*totals, *sums))
+    out: list[list[dict[int, float]]] = [[] for _ in range(FOLDS + 1)]
+    for c, cause in enumerate(("_poor", "_toxic"), 1):
+        rate = total[c] / total[0]
+        if not 0 < rate < 1:
+            for own in out:
+                own.append({})
+            continue
+        z = (F.col(cause) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+        rows = (
+            counts.filter(weight(F.col("n"), F.col(cause), rate) >= LEAST_WEIGHT)
+            .orderBy(z.desc(), "piece").limit(PIECES)
+            .select("piece", *(f"{k}{f}" for f in range(FOLDS) for k in ("n", cause))).collect()
+        )
+        table = np.array([r[1:] for r in rows], float).reshape(len(rows), FOLDS, 2)
+        for f in range(FOLDS + 1):
+            n, bad = (table.sum(axis=1) - (table[:, f] if f < FOLDS else 0)).T
+            left = total - (sizes[f] if f < FOLDS else 0)
+            own_rate = min(max(left[c] / max(1.0, left[0]), 1e-6), 1 - 1e-6)
+            w = np.log((bad + SHRINKAGE * own_rate) / (n - bad + SHRINKAGE * (1 - own_rate)))
+            w -= math.log(own_rate / (1 - own_rate))
+            out[f].append({r[0]: float(v) for r, v in zip(rows, w) if v >= LEAST_WEIGHT})
+    return out
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, good: Column, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS
+    docs: DataFrame, labels: DataFrame, good: Column, doc_id: str = "doc_id", text: str = "text",
+    rows: int = FIT_ROWS, toxic: Column | None = None,
 ) -> Evidence | None:
     """Learn from at most ``rows`` of the documents that ``labels`` (joined on ``doc_id``) covers.
 
-    ``good`` is a condition on ``labels``; rows for which it is null are left out.
+    ``good`` is a condition on ``labels``; rows for which it is null are left out. ``toxic`` tells which of the
+    others are toxic (by default column ``toxic``, if there is one); the rest is of poor quality, or both.
     """
-    marked = labels.select(F.col(doc_id).alias("_id"), good.cast("int").alias("_good")).filter("_good IS NOT NULL")
+    if toxic is None:
+        toxic = F.col("toxic") == 1 if "toxic" in labels.columns else F.lit(False)
+    poor = ~good & (~toxic | (F.col("quality") == 0)) if "quality" in labels.columns else ~good & ~toxic
+    flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    marked = labels.select(
+        F.col(doc_id).alias("_id"), good.cast("int").alias("_good"), flag(poor).alias("_poor"),
+        flag(~good & toxic).alias("_toxic"),
+    ).filter("_good IS NOT NULL")
     marked = marked.withColumn("_order", F.xxhash64(F.col("_id").cast("string"))).orderBy("_order", "_id").limit(rows)
-    marked = F.broadcast(marked)  # at most ``rows`` short rows
+    marked = F.broadcast(marked.withColumn("_fold", F.pmod("_order", F.lit(FOLDS)).cast("int")))  # at most ``rows`` short rows
     named = docs.select(F.col(doc_id).alias("_own"), F.col(text).alias("_text"))
-    sample = checkpointed(named.join(marked, F.col("_own") == F.col("_id")).select("_text", "_good"))
+    sample = checkpointed(
+        named.join(marked, F.col("_own") == F.col("_id")).select("_text", "_fold", "_good", "_poor", "_toxic")
+    )
     total, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("_good"), F.lit(0))).first()
     if not 0 < positive < total:
         return None
-
-    def make_words():
-        return lambda texts, marks: [
-            (w, m) for t, m in zip(texts, marks) for w in set(map(plain, (t or b"").decode().split())) if w
-        ]
-
-    found = row_map(sample, ["_text", "_good"], "word string, good int", make_words).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("good")).alias("bad")
-    )
-    rate = (total - positive) / total
-    deviations = (F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    telling = (
-        found.filter(f"n >= {LEAST_DOCUMENTS}").withColumn("z", deviations).filter(f"z >= {LEAST_DEVIATIONS}")
-        .orderBy(F.desc("z"), "word").limit(TELLING_WORDS)
-    )
-    words = [r.word for r in telling.collect()]
+    weights = telling_pieces(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(weights[:FOLDS])  # of at most FOLDS * CAUSES * PIECES numbers
 
     def make():
-        measures = Measures(words)
-        return lambda texts, marks: [(measures.of((t or b"").decode()), m) for t, m in zip(texts, marks)]
+        measures = [Measures(own) for own in shared.value]
+        return lambda texts, folds, *marks: [
+            (measures[f].of((t or b"").decode()), *m) for t, f, *m in zip(texts, folds, *marks)
+        ]
 
-    data = row_map(sample, ["_text", "_good"], "x array<double>, good int", make).collect()
-    return Evidence(words, np.array([r.x for r in data]), np.array([r.good for r in data], float))
+    data = row_map(
+        sample, ["_text", "_fold", "_good", "_poor", "_toxic"], "x array<double>, good int, poor int, toxic int", make
+    ).collect()
+    causes = np.array([(r.poor, r.toxic) for r in data], float)
+    return Evidence(weights[-1], np.array([r.x for r in data]), causes, np.array([r.good for r in data], float))
 
 
 def evidence_column(docs: DataFrame, evidence: Evidence | None, text: str) -> Column:
@@ -160,7 +284,7 @@ def evidence_column(docs: DataFrame, evidence: Evidence | None, text: str) -> Co
     def logits(texts: pd.Series) -> pd.Series:
         own = shared.value
         if not tables:
-            tables.append(Measures(own.telling if own else ()))
+            tables.append(Measures(own.telling if own else [{}] * CAUSES))
         measured = [tables[0].of(t) for t in texts]
         values = own.logit(measured) if own and measured else np.full(len(texts), 12.0)
         return pd.Series([None if m[-1] else v for m, v in zip(measured, values)], dtype="float64")

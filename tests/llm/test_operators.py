@@ -248,6 +248,20 @@ def test_quality_on_held_out_labels(spark):
     assert same == quality.assess(docs, evidence, F.col("source"), F.col("lang")).filter("kept").count()
 
 
+@pytest.mark.parametrize("part", [0, 1])
+def test_toxic_documents_of_every_language_are_rejected(spark, part):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == part
+    evidence = quality.fit(docs, labels.filter(~held), quality.acceptable())
+    rows = docs.join(F.broadcast(labels.filter(held)), "doc_id")
+    found = rows.join(quality.assess(rows, evidence, F.col("source"), F.col("lang")), "doc_id").filter("quality = 1")
+    rates = {(r["lang"], r["toxic"]): r["k"] for r in found.groupBy("lang", "toxic").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
+    assert len(rates) == 8
+    for (_, toxic), kept in rates.items():
+        assert kept <= 0.2 if toxic else kept > 0.97
+
+
 def test_sparse_sites_stay_near_the_rates_above_them(spark):
     rows = [("big", "a", 3.0)] * 300 + [("big", "b", -3.0)] * 300 + [("other", "a", 2.0)] * 300 + [("tiny", "z", -3.0)]
     rate, sites = quality.site_rates(spark.createDataFrame(rows, "_host string, _path string, _logit double"))
