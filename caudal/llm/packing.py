@@ -58,6 +58,21 @@ def fast_encoding(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@functools.lru_cache(maxsize=2)
+def library_encoding(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def encode(text: str, path: str) -> np.ndarray:
+    """Ids of a text. The faster library refuses runs of white space of about a million; the other takes them."""
+    try:
+        return fast_encoding(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(library_encoding(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def encoded_pieces(
     docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID,
     doc_id: str = "doc_id", text: str = "text",
@@ -66,12 +81,8 @@ def encoded_pieces(
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def make():
-        encoding = fast_encoding(path)
-
         def row(i, data):
-            ids = np.append(
-                encoding.encode_to_numpy((data or b"").decode(), allowed_special="all"), np.uint32(end_id)
-            ).astype("<u4")
+            ids = np.append(encode((data or b"").decode(), path), np.uint32(end_id)).astype("<u4")
             first = (len(ids) - 1) % sequence + 1
             cuts = [0, *range(first, len(ids) + 1, sequence)]
             return i, first, [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]

@@ -94,6 +94,16 @@ def test_fast_encoding_is_the_library():
         assert fast.encode(text, allowed_special="all") == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \t"])
+def test_packing_takes_two_million_blanks(spark, docs, run):
+    text = "The end" + run * (2_000_000 // len(run)) + "of it"
+    ids = np.array([*Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids, 2], "<u4")
+    found = packing.pack_documents(docs([text, "a"]), BYTES).filter("doc_id = 0").toPandas()
+    assert found["length"].sum() == len(ids)
+    for p in found.itertuples():
+        assert zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32
+
+
 # --- duplicates
 
 def test_lower_ascii(spark):
