@@ -1,12 +1,13 @@
-"""Best-fit packing of documents into sequences of a fixed number of tokens, in a tree of rounds.
+"""Best-fit packing of documents into sequences of a fixed number of tokens: by groups, then by sizes.
 
 A document's ids are followed by an end id. Only documents longer than a sequence are cut, so that all
 pieces but the first are whole sequences; the first piece, shorter or not, is the item to pack.
 
-Round 0: each group of items packs its own by best fit, longest first. Bins that are full but for
-``SLACK`` tokens are final. The others go on to the next round as items that are not taken apart
-again, grouped ``FAN_IN`` groups to one. A round leaves few underfull bins per group, so what is
-moved shrinks from round to round; all bins of the last round, which has one group, are final.
+Each group of items packs its own by best fit, longest first. Bins that are full but for ``SLACK`` tokens
+are final, and so are those that even the least filled bin of all groups does not fit. What is left is
+joined by best fit over how many bins there are of each fill, a table of at most a sequence's length, so
+that this plan is made on the driver, whatever the size of the table. A bin finds its place in the plan by
+its fill and its rank among those of the same fill; no task holds all bins of a fill.
 
 No group holds more than ``GROUP_ITEMS`` items on average, whatever the size of the table: groups are
 dealt by the hash of a row number, not by any column that could be skewed.
@@ -24,7 +25,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.llm.common import read_documents, row_map
@@ -33,7 +34,6 @@ from caudal.session import checkpointed
 SEQUENCE = 1024
 SLACK = 2
 GROUP_ITEMS = 20_000
-FAN_IN = 16
 END_ID = 2
 
 
@@ -120,48 +120,116 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _round(items: DataFrame, capacity: int, slack: int, last: bool) -> DataFrame:
-    """Pack each group's items; a row per bin, ``done`` where it is final."""
+def joined(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit of items of which only the number of each size is known, longest first.
+
+    Runs (size, from, to, each, bin, offset): the items of a size with ranks ``from`` to ``to`` - 1 go, ``each``
+    to a bin, into the bins from number ``bin`` on, one behind the other from ``offset``.
+    """
+    runs = []
+    open_bins: dict[int, list[tuple[int, int]]] = {}  # bins from, number of them; by space
+    spaces: list[int] = []  # spaces for which a bin is open, in order
+    made = 0
+
+    def leave(space: int, start: int, number: int) -> None:
+        if space and number:
+            if space not in open_bins:
+                insort(spaces, space)
+            open_bins.setdefault(space, []).append((start, number))
+
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            at = bisect_left(spaces, size)
+            if at < len(spaces):
+                space = spaces[at]
+                start, number = open_bins[space].pop()
+                if not open_bins[space]:
+                    del open_bins[space], spaces[at]
+            else:
+                space, start, number = capacity, made, -(-left // (capacity // size))
+                made += number
+            # a bin just filled is the fullest that fits, so it is filled on
+            each = min(space // size, left)
+            used = min(number, left // each)
+            runs.append((size, rank, rank + used * each, each, start, capacity - space))
+            rank, left = rank + used * each, left - used * each
+            leave(space - each * size, start, used)
+            rest = number - used
+            if rest and 0 < left < each:  # one bin more, not filled as far
+                runs.append((size, rank, rank + left, left, start + used, capacity - space))
+                leave(space - left * size, start + used, 1)
+                used, rest, left = used + 1, rest - 1, 0
+            if space < capacity:
+                leave(space, start + used, rest)
+    return runs
+
+
+def _packed(items: DataFrame, capacity: int) -> DataFrame:
+    """Pack each group's items; a row per bin, numbered within its group and fill."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["size"].to_numpy()
-        bins, offsets, fill = best_fit(sizes, capacity)
+        bins, offsets, fill = best_fit(pdf["size"].to_numpy(), capacity)
         members: list[list[dict]] = [[] for _ in fill]
-        for own, b, offset in zip(pdf["members"], bins, offsets):
-            members[b] += [{"row": int(m["row"]), "offset": int(m["offset"] + offset)} for m in own]
-        done = (fill >= capacity - slack) | last
-        return pd.DataFrame(
-            {"size": fill, "members": members, "done": done, "_group": pdf["_group"].iloc[0] // FAN_IN}
-        )
+        for row, b, offset in zip(pdf["row"], bins, offsets):
+            members[b].append({"row": int(row), "offset": int(offset)})
+        rank = pd.Series(fill).groupby(fill).cumcount()
+        return pd.DataFrame({"size": fill, "members": members, "rank": rank, "_group": pdf["_group"].iloc[0]})
 
     return items.groupBy("_group").applyInPandas(
-        pack, "size int, members array<struct<row:long,offset:int>>, done boolean, _group long"
+        pack, "size int, members array<struct<row:long,offset:int>>, rank long, _group long"
+    )
+
+
+def _joined_bins(packed: DataFrame, capacity: int, slack: int) -> tuple[DataFrame, DataFrame | None]:
+    """members of the bins that are final, and _row, _sequence, _offset of those that are joined."""
+    room = packed.filter(F.col("size") < capacity - slack)
+    per_group = checkpointed(room.groupBy("size", "_group").agg(F.count(F.lit(1)).alias("n")))
+    counts = {r["size"]: r["n"] for r in per_group.groupBy("size").agg(F.sum("n").alias("n")).collect()}
+    least = min(counts, default=capacity)
+    if counts and counts[least] == 1:  # a single bin does not fit into itself
+        most = capacity - least if len(counts) > 1 else 0
+    else:
+        most = capacity - least
+    counts = {size: n for size, n in counts.items() if size <= most}
+    if sum(counts.values()) < 2:
+        return packed.select("members"), None
+    runs = joined(counts, capacity)
+    plan = packed.sparkSession.createDataFrame(
+        runs, "_size int, _from long, _to long, _each long, _bin long, _at int"
+    )
+    before = Window.partitionBy("size").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_group.filter(F.col("size") <= most).select(
+        "size", "_group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")
     )
+    ranked = room.filter(F.col("size") <= most).join(starts, ["size", "_group"])
+    ranked = ranked.withColumn("_rank", F.col("rank") + F.col("_start"))
+    inside = (F.col("size") == F.col("_size")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    nth = F.col("_rank") - F.col("_from")
+    placed = ranked.join(F.broadcast(plan), inside).select(
+        (F.col("_bin") + F.floor(nth / F.col("_each"))).alias("_bin"), "members",
+        (F.col("_at") + (nth % F.col("_each")) * F.col("size")).cast("int").alias("_at"),
+    )
+    opener = F.first(F.col("members")[0]["row"]).over(Window.partitionBy("_bin").orderBy("_at"))
+    rows = placed.select(opener.alias("_sequence"), "_at", F.explode("members").alias("_m")).select(
+        F.col("_m.row").alias("_row"), "_sequence", (F.col("_m.offset") + F.col("_at")).alias("_offset")
+    )
+    final = (F.col("size") > most) | (F.col("size") >= capacity - slack)
+    return packed.filter(final).select("members"), rows
 
 
 def place(items: DataFrame, capacity: int = SEQUENCE, slack: int = SLACK) -> DataFrame:
     """For rows (_row unique, size 1 to ``capacity``): _row, _sequence, _offset."""
     groups = max(1, -(-items.count() // GROUP_ITEMS))
-    open_bins = items.select(
-        F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group"), "size",
-        F.array(F.struct(F.col("_row").alias("row"), F.lit(0).alias("offset"))).alias("members"),
-    )
-    final = []
-    while True:
-        last = groups == 1
-        packed = checkpointed(_round(open_bins, capacity, slack, last))
-        final.append(packed.filter("done").select("members"))
-        if last:
-            break
-        open_bins = packed.filter("NOT done").select("_group", "size", "members")
-        groups = -(-groups // FAN_IN)
-    bins = final[0]
-    for more in final[1:]:
-        bins = bins.unionByName(more)
+    packed = checkpointed(_packed(items.select(
+        F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group"), "size", F.col("_row").alias("row"),
+    ), capacity))
+    final, more = (packed.select("members"), None) if groups == 1 else _joined_bins(packed, capacity, slack)
     # a bin is known by the row that opens it
-    return bins.select(
+    rows = final.select(
         F.col("members")[0]["row"].alias("_sequence"), F.explode("members").alias("_m")
     ).select(F.col("_m.row").alias("_row"), "_sequence", F.col("_m.offset").alias("_offset"))
+    return rows if more is None else rows.unionByName(more)
 
 
 def pack_documents(

@@ -104,6 +104,46 @@ def test_packing_takes_two_million_blanks(spark, docs, run):
         assert zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32
 
 
+@pytest.mark.parametrize("least, most", [(513, 1000), (300, 700), (1, 400)])
+def test_no_group_of_bins_grows_with_the_table(spark, monkeypatch, least, most):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 50)
+    largest, real = [], packing.checkpointed
+
+    def seen(df):
+        out = real(df)
+        largest.append(out.groupBy("_group").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(packing, "checkpointed", seen)
+    rng = random.Random(least)
+    sizes = [rng.randint(least, most) for _ in range(3000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "_row long, size int")
+    found = packing.place(items, 1024).toPandas()
+    assert sorted(found["_row"]) == list(range(3000)) and max(largest) <= 150
+    found["size"] = [sizes[i] for i in found["_row"]]
+    found = found.sort_values(["_sequence", "_offset"])
+    own = found.groupby("_sequence")["size"]
+    assert (own.cumsum() - found["size"] == found["_offset"]).all() and own.sum().max() <= 1024
+    whole = len(packing.best_fit(np.array(sizes), 1024)[2])
+    assert own.ngroups <= whole * 1.1 + 1
+
+
+def test_joining_by_sizes_is_best_fit():
+    rng = random.Random(12)
+    for capacity in (10, 50, 1024) * 60:
+        most = rng.choice([capacity, capacity // 2 + 1, max(2, capacity // 8)])
+        sizes = np.array([rng.randint(rng.choice([1, most // 2]), most) for _ in range(rng.randint(1, 300))])
+        counts, bins, taken = collections.Counter(sizes.tolist()), collections.defaultdict(list), collections.Counter()
+        for size, start, end, each, first, offset in packing.joined(counts, capacity):
+            taken[size] += end - start
+            for k in range(end - start):
+                bins[first + k // each].append((offset + k % each * size, size))
+        assert taken == counts and len(bins) == len(packing.best_fit(sizes, capacity)[2])
+        for own in bins.values():
+            ends = [0, *(at + size for at, size in sorted(own))]
+            assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= capacity
+
+
 # --- duplicates
 
 def test_lower_ascii(spark):
