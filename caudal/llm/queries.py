@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from caudal.llm import ann, bpe, exact_dedup, hmm, language, minhash, packing, pii, quality, token_counts
+from caudal.llm import (
+    ann, bpe, exact_dedup, hard_negatives, hmm, language, minhash, packing, pii, quality, token_counts, toxicity,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,8 +17,11 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_minhash": minhash.op9_minhash,
     "op10_hmm_lm": hmm.op10_hmm_lm,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
