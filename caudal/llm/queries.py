@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from caudal.llm import (
-    ann, bpe, exact_dedup, hard_negatives, hmm, language, minhash, packing, pii, quality, token_counts, toxicity,
+    ann, bpe, exact_dedup, hard_negatives, hmm, language, minhash, packing, periodic, pii, quality, token_counts, toxicity,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_minhash": minhash.op9_minhash,
     "op10_hmm_lm": hmm.op10_hmm_lm,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_toxicity": toxicity.op13_toxicity,
 }
