@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caudal.llm import ann, bpe, exact_dedup, hmm, language, minhash, packing, pii, quality, token_counts
+from caudal.llm import ann, bpe, exact_dedup, hmm, language, minhash, packing, periodic, pii, quality, token_counts, toxicity
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +20,11 @@ def qualities(docs):
     return quality.assess(docs, quality.fit(docs, labels, quality.acceptable()), F.col("source"), F.col("lang"))
 
 
+def toxicities(docs):
+    labels = docs.sparkSession.createDataFrame([(1, 0), (6, 1), (None, 1), (9, None), (6, 1)], "doc_id long, toxic int")
+    return toxicity.assess(docs, toxicity.fit(docs, labels))
+
+
 BY_ROW = {
     "token_counts": lambda d: token_counts.token_counts(d, BYTES),
     "prefix_tables": lambda d: token_counts.prefix_tables(d, BYTES).select("doc_id", F.size("counts").alias("n")),
@@ -30,6 +35,8 @@ BY_ROW = {
     "pii": lambda d: pii.find(d, pii.fit(pii.labelled_windows(d))),
     "language": languages,
     "minhash": lambda d: minhash.near_duplicates(d, 4, 80),
+    "periodic": periodic.collapse,
+    "toxicity": toxicities,
     "hmm": lambda d: hmm.score(d, F.col("doc_id") != 2),
 }
 
