@@ -3,15 +3,16 @@
 Layout below the target folder::
 
     log/batch=<id>/bucket=<b>       every accepted change (type 2 only)
+    filters/batch=<id>              which keys each of these logs may hold (type 2 only)
     history/batch=<id>/bucket=<b>   a bucket's versions as of that batch
     commits/batch=<id>              the buckets that batch replaced, written last
 
 A key's bucket is a hash of the key.  A batch rewrites only buckets it has
-changes for, and within them recomputes only the keys it touches, from the logs of
-those buckets.  The state of a bucket is its newest committed batch, so a batch that
+changes for, and within them recomputes only the keys it touches, from those logs of
+the buckets whose filters do not rule out all of the batch's keys.  The state of a bucket is its newest committed batch, so a batch that
 is run again overwrites its own folders and nothing else.  Commits also keep the
-number of buckets and the columns.  ``compact`` merges logs and leaves replaced
-folders behind.
+number of buckets, the columns, and how many logs were there and were read (``merge_costs``).
+``compact`` merges logs and leaves replaced folders behind.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from caudal.operators.ranges import HOT_ROWS
 from caudal.operators.scd import END, START, scd1, scd2
 from caudal.operators.small import fits_broadcast
 from caudal.sinks.tables import read_if_exists
+from caudal.streaming.keyfilter import key_filters, may_hold
 
 BUCKETS = 64
 
@@ -78,6 +80,26 @@ def _widened(known: StructType | None, batch: StructType) -> StructType:
     return StructType([*known.fields, *new])
 
 
+def _write_filters(log: DataFrame, folder: str, keys: Sequence[str]) -> None:
+    key_filters(log, keys, "bucket").write.mode("overwrite").parquet(folder)
+
+
+def _logs_to_read(spark: SparkSession, target: str, logs: DataFrame, touched: DataFrame, keys: list[str]) -> set[str]:
+    """Folders of those ``logs`` (batch, bucket) that may hold a key of ``touched`` (bucket, keys); all that have no filter."""
+    filters, name = read_if_exists(spark, f"{target}/filters"), ["batch", "bucket"]
+    if filters is not None:
+        filters = filters.join(logs, name, "left_semi")
+        logs = logs.join(filters.select(*name).distinct(), name, "left_anti").unionByName(
+            may_hold(filters, touched, keys, "bucket", name))
+    return {f"log/batch={r['batch']}/bucket={r['bucket']}" for r in logs.collect()}
+
+
+def merge_costs(spark: SparkSession, target: str) -> DataFrame:
+    """batch, logs_seen, logs_read: earlier logs of the buckets a batch touched, and those its merge read."""
+    commits = spark.read.option("mergeSchema", True).parquet(f"{target}/commits")
+    return commits.groupBy("batch").agg(F.max("logs_seen").alias("logs_seen"), F.max("logs_read").alias("logs_read"))
+
+
 def read_history(spark: SparkSession, target: str) -> DataFrame | None:
     """The table's current rows with their ``bucket``; None before the first commit."""
     commits = _commits(spark, target)
@@ -127,6 +149,7 @@ def scd_merge(
     # at most ``buckets`` numbers: as literals they prune the folders of log and history
     touched = sorted(r["bucket"] for r in changes.select("bucket").distinct().collect())
     touched_keys = changes.select(*keys).distinct()
+    costs = (0, 0)
     if fits_broadcast(touched_keys):
         touched_keys = F.broadcast(touched_keys)
 
@@ -137,11 +160,12 @@ def scd_merge(
         rows = changes if current is None else current.unionByName(changes, allowMissingColumns=True)
         merged = scd1(rows, keys, sequence)
     else:
-        earlier = set() if commits is None else {
-            f"log/batch={r['batch']}/bucket={r['bucket']}"
-            for r in commits.filter(F.col("bucket").isin(touched)).select("logs", "bucket")
-            .select(F.explode("logs").alias("batch"), "bucket").distinct().collect()
-        }
+        _write_filters(changes, f"{target}/filters/batch={batch_id}", keys)
+        earlier = set()
+        if commits is not None:
+            logs = commits.filter(F.col("bucket").isin(touched)).select(F.explode("logs").alias("batch"), "bucket").distinct()
+            earlier = _logs_to_read(spark, target, logs, changes.select("bucket", *keys).distinct(), keys)
+            costs = (logs.count(), len(earlier))
         own = {f"{log}/bucket={b}" for b in touched}
         every = _read_folders(spark, target, earlier | own, logged).join(touched_keys, keys, "left_semi")
         merged = scd2(every.drop("bucket"), keys, sequence, tracked, untracked, hot_rows)
@@ -152,13 +176,14 @@ def scd_merge(
             )
     merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
         f"{target}/history/batch={batch_id}")
-    _commit(spark, target, batch_id, [(b, [batch_id]) for b in touched], buckets, columns, sequence, scd_type)
+    _commit(spark, target, batch_id, [(b, [batch_id]) for b in touched], buckets, columns, sequence, scd_type, keys, costs)
 
 
-def _commit(spark, target, batch_id, entries, buckets, columns: StructType, sequence, scd_type) -> None:
+def _commit(spark, target, batch_id, entries, buckets, columns: StructType, sequence, scd_type, keys, costs=(0, 0)) -> None:
     """What a batch replaced: a row per bucket with the log folders it adds, written last."""
-    rows = [(b, logs, buckets, columns.json(), sequence, scd_type) for b, logs in entries]
-    shape = "bucket int, logs array<int>, buckets int, columns string, sequence string, scd_type int"
+    rows = [(b, logs, buckets, columns.json(), sequence, scd_type, keys, *costs) for b, logs in entries]
+    shape = ("bucket int, logs array<int>, buckets int, columns string, sequence string, scd_type int, "
+             "keys array<string>, logs_seen int, logs_read int")
     spark.createDataFrame(rows, shape).coalesce(1).write.mode("overwrite").parquet(f"{target}/commits/batch={batch_id}")
 
 
@@ -170,17 +195,20 @@ def compact(spark: SparkSession, source: str, target: str) -> None:
     commits = _commits(spark, source)
     last = commits.orderBy(F.desc("batch")).first()
     columns = _stored_schema(commits)
+    keys = last["keys"] if "keys" in commits.columns else None  # tables of earlier versions do not name them
     number, stored = last["batch"], StructType([*columns.fields, StructField("bucket", IntegerType())])
     logs = {f"log/batch={r[0]}/bucket={r[1]}" for r in
             commits.select(F.explode("logs"), "bucket").distinct().collect()}
     if last["scd_type"] == 2:
         log = _read_folders(spark, source, logs, stored)
         log.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{target}/log/batch={number}")
+        if keys:
+            _write_filters(log, f"{target}/filters/batch={number}", keys)
     state = read_history(spark, source)
     state.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{target}/history/batch={number}")
     held = sorted(_live_folders(commits))
     _commit(spark, target, number, [(b, [number]) for b in held], last["buckets"], columns, last["sequence"],
-            last["scd_type"])
+            last["scd_type"], keys)
 
 
 def merge_stream(stream: DataFrame, target: str, checkpoint: str, **merge) -> None:

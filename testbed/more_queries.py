@@ -371,3 +371,41 @@ def _(spark, sf):
     build_summaries(spark, {**tables, "call_center_interactions": clean(spark, sf, "call_center_interactions")}, policy, base)
     refresh_policy(spark, base, pol.policy_tables(spark), "2026-03-31", "r1", sources=list(stored))
     return read_manifest(spark, f"{base}/exports").select("table_name", "n_rows", "as_of_date")
+
+
+# --- merges that read little of their past -----------------------------------
+
+def _line_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as changes of orders: many keys, each of which changes within a few months; one change a day."""
+    day, order = F.col("l_shipdate").cast("date").alias("shipped"), F.col("l_orderkey")
+    last = F.max(F.struct("l_linenumber", "l_linestatus", "l_quantity")).alias("_last")
+    lines = table(spark, sf, "lineitem").groupBy(order, day).agg(last)
+    return lines.select("l_orderkey", "shipped", "_last.l_linenumber", "_last.l_linestatus", "_last.l_quantity")
+
+
+_LINES_SQL = _versions(
+    "(SELECT l_orderkey, CAST(l_shipdate AS DATE) AS shipped, l_linenumber, l_linestatus, l_quantity FROM lineitem "
+    "QUALIFY row_number() OVER (PARTITION BY l_orderkey, CAST(l_shipdate AS DATE) ORDER BY l_linenumber DESC, l_linestatus DESC, l_quantity DESC) = 1)",
+    "l_orderkey", "shipped", "l_linestatus", ["l_linenumber", "l_quantity"])
+
+
+def _pruned_history(spark: SparkSession, sf: str, batches: int = 20) -> str:
+    """Twenty deliveries in time order; a few changes of each reach the table only with the last one."""
+    target, base = scratch_path(spark, "pruned"), scratch_path(spark, "deliveries")
+    changes = _line_changes(spark, sf)
+    days = F.datediff("shipped", F.lit("1992-01-01").cast("date"))
+    lowest, highest = changes.agg(F.min(days), F.max(days)).first()
+    slot = F.floor((days - lowest) * batches / (highest - lowest + 1)).cast("int")
+    late = F.pmod(F.xxhash64("l_orderkey", "shipped"), F.lit(5000)) == 0
+    changes.withColumn("delivery", F.when(late, batches - 1).otherwise(slot)).write.partitionBy("delivery").parquet(base)
+    every = spark.read.parquet(base)
+    for i in range(batches):
+        rows = every.filter(F.col("delivery") == i).drop("delivery")
+        scd_merge(rows, i, target, ["l_orderkey"], "shipped", tracked=["l_linestatus"],
+                  untracked=["l_linenumber", "l_quantity"], buckets=4)
+    return target
+
+
+@case("scd2_stream_pruned", _LINES_SQL)
+def _(spark, sf):
+    return read_history(spark, _pruned_history(spark, sf)).drop("shipped", "bucket")

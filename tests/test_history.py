@@ -1,11 +1,14 @@
 import itertools
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from caudal.operators.scd import END, START, scd1, scd2
-from caudal.streaming.history import BucketMismatch, compact, merge_stream, read_history, scd_merge
+from caudal.streaming import history
+from caudal.streaming.history import BucketMismatch, compact, merge_costs, merge_stream, read_history, scd_merge
+from caudal.streaming.keyfilter import key_filters, may_hold
 
 SCHEMA = "k int, seq int, state string, note string"
 
@@ -141,3 +144,73 @@ def test_a_text_sequence_of_a_large_key(spark):
     data = [(k, f"{i:05d}" if k else f"v{i:04d}", "ab"[i // 7 % 2], f"n{i}") for k in (0, 1) for i in range(100)]
     df = spark.createDataFrame(data, "k int, seq string, state string, note string")
     assert versions(scd2(df, ["k"], "seq", ["state"], ["note"], hot_rows=10)) == by_hand(data)
+
+
+def test_key_filters_deny_no_key_they_hold(spark):
+    rows = spark.range(20_000).selectExpr("id AS k", "concat('s', id) AS j", "CAST(id % 3 AS int) AS bucket")
+    filters = key_filters(rows, ["k", "j"], "bucket").withColumn("batch", F.lit(1))
+    assert filters.filter("_words = 3").count() == 9
+    for few in (rows.filter("k IN (17, 18, 19)"), rows.filter("k >= 19997")):
+        assert may_hold(filters, few, ["k", "j"], "bucket", ["batch", "bucket"]).count() == 3
+    outside = spark.range(5000, 9000).selectExpr("id AS k", "concat('x', id) AS j", "0 AS bucket")  # in range, not held
+    passed = sum(not may_hold(filters, outside.filter(F.col("k") == k), ["k", "j"], "bucket", ["bucket"]).isEmpty() for k in range(5000, 5012))
+    assert passed <= 1
+    beyond = spark.createDataFrame([(50_000, "s50000", 0)], "k long, j string, bucket int")
+    assert may_hold(filters, beyond, ["k", "j"], "bucket", ["bucket"]).isEmpty()
+
+
+def spread(n: int, batches: int) -> list[list[tuple]]:
+    """Deliveries whose keys move on: key i changes in delivery i // 20 and the next one, a few come at the end."""
+    parts = [[] for _ in range(batches)]
+    for k in range(n):
+        home = min(k * batches // n, batches - 2)
+        late = batches - 1 if k % 40 == 0 else home
+        parts[late].append((k, 10 * home, "ab"[k % 2], f"n{k}"))
+        parts[home + 1].append((k, 10 * home + 5, "bc"[k % 2], f"m{k}"))
+    return parts
+
+
+def files_of(folder):
+    return {p.parent.parent.name + "/" + p.parent.name for p in folder.rglob("*.parquet")}
+
+
+def test_a_merge_reads_only_logs_that_may_hold_its_keys(spark, tmp_path, monkeypatch):
+    """Twenty deliveries with late rows: the history of one batch, and less than half of the earlier logs read."""
+    target, parts = str(tmp_path / "t"), spread(400, 20)
+    opened, plain = [], history._read_folders
+
+    def watched(session, where, folders, schema):
+        opened.append([f for f in folders if f.startswith("log/") and "/bucket=" in f])
+        return plain(session, where, folders, schema)
+
+    monkeypatch.setattr(history, "_read_folders", watched)
+    merge = dict(keys=["k"], sequence="seq", tracked=["state"], untracked=["note"], buckets=4)
+    for i, part in enumerate(parts):
+        scd_merge(spark.createDataFrame(part, SCHEMA), i, target, **merge)
+    assert versions(read_history(spark, target)) == by_hand([r for part in parts for r in part])
+    costs = {r["batch"]: (r["logs_seen"], r["logs_read"]) for r in merge_costs(spark, target).collect()}
+    seen, read = (sum(c[i] for c in costs.values()) for i in (0, 1))
+    own = sum(len(files_of(tmp_path / "t" / "log" / f"batch={i}")) for i in range(20))
+    assert read < seen / 2 and read + own == sum(map(len, opened))
+    assert costs[19][1] > costs[10][1]  # the late rows of many deliveries need theirs
+
+
+def test_logs_without_filters_are_read(spark, tmp_path):
+    target, data = str(tmp_path / "t"), changes(11, 120)
+    merge = dict(keys=["k"], sequence="seq", tracked=["state"], untracked=["note"], buckets=2)
+    scd_merge(spark.createDataFrame(data[:60], SCHEMA), 0, target, **merge)
+    shutil.rmtree(f"{target}/filters")  # as a table of an earlier version has none
+    for i, part in enumerate((data[60:90], data[90:]), 1):
+        scd_merge(spark.createDataFrame(part, SCHEMA), i, target, **merge)
+    assert versions(read_history(spark, target)) == by_hand(data)
+
+
+def test_filters_of_an_uncommitted_batch_are_not_believed(spark, tmp_path):
+    target, data = str(tmp_path / "t"), changes(12, 90)
+    merge = dict(keys=["k"], sequence="seq", tracked=["state"], untracked=["note"], buckets=2)
+    scd_merge(spark.createDataFrame(data[:30], SCHEMA), 0, target, **merge)
+    shutil.copytree(f"{target}/log/batch=0", f"{target}/log/batch=1")
+    shutil.copytree(f"{target}/filters/batch=0", f"{target}/filters/batch=1")
+    scd_merge(spark.createDataFrame(data[30:], SCHEMA), 2, target, **merge)
+    assert versions(read_history(spark, target)) == by_hand(data)
+    assert merge_costs(spark, target).filter("batch = 2 AND logs_seen > 2").isEmpty()
