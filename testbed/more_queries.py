@@ -9,9 +9,10 @@ from caudal.contracts import AUDIT_COLUMNS, ENTITIES
 from caudal.operators.cleanse import ensure_columns
 from caudal.operators.rules import drop_and_count
 from caudal.operators.scd import scd2
+from caudal.operators.snapshots import snapshot_changes, snapshots_to_history
 from caudal.plans import policy as pol
 from caudal.plans import summaries
-from caudal.plans.incremental import read_snapshot, run_incremental
+from caudal.plans.incremental import read_snapshot, read_snapshot_history, run_incremental
 from caudal.plans.medallion import build_summaries, refresh_policy
 from caudal.plans.offers import CARRY, accepted_offers, undeclared
 from caudal.plans.options import offer_options
@@ -389,8 +390,8 @@ _LINES_SQL = _versions(
     "l_orderkey", "shipped", "l_linestatus", ["l_linenumber", "l_quantity"])
 
 
-def _pruned_history(spark: SparkSession, sf: str, batches: int = 20) -> str:
-    """Twenty deliveries in time order; a few changes of each reach the table only with the last one."""
+def _pruned_history(spark: SparkSession, sf: str, batches: int = 10) -> str:
+    """Ten deliveries in time order; a few changes of each reach the table only with the last one."""
     target, base = scratch_path(spark, "pruned"), scratch_path(spark, "deliveries")
     changes = _line_changes(spark, sf)
     days = F.datediff("shipped", F.lit("1992-01-01").cast("date"))
@@ -409,3 +410,77 @@ def _pruned_history(spark: SparkSession, sf: str, batches: int = 20) -> str:
 @case("scd2_stream_pruned", _LINES_SQL)
 def _(spark, sf):
     return read_history(spark, _pruned_history(spark, sf)).drop("shipped", "bucket")
+
+
+# --- whole deliveries compared -----------------------------------------------
+
+# the same SELECT for both engines: delivery 1 to 3 of orders, each without some of them and with other values
+_DELIVERY = """SELECT o_orderkey, o_custkey, CASE WHEN (o_orderkey + {n}) % 6 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 5 = {n} THEN o_totalprice + {n} ELSE o_totalprice END AS o_totalprice
+  FROM orders WHERE o_orderkey % 7 <> {n}"""
+
+
+def _delivery(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_DELIVERY.format(n=n))
+
+
+@case("snapshot_changes", f"""
+    WITH a AS ({_DELIVERY.format(n=1)}), b AS ({_DELIVERY.format(n=2)})
+    SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey,
+      CASE WHEN b.o_orderkey IS NULL THEN a.o_custkey ELSE b.o_custkey END AS o_custkey,
+      CASE WHEN b.o_orderkey IS NULL THEN a.o_orderstatus ELSE b.o_orderstatus END AS o_orderstatus,
+      CASE WHEN b.o_orderkey IS NULL THEN a.o_totalprice ELSE b.o_totalprice END AS o_totalprice,
+      CASE WHEN a.o_orderkey IS NULL THEN 'insert' WHEN b.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS _change
+    FROM a FULL JOIN b USING (o_orderkey)
+    WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR row(a.o_custkey, a.o_orderstatus, a.o_totalprice)
+      IS DISTINCT FROM row(b.o_custkey, b.o_orderstatus, b.o_totalprice)""")
+def _(spark, sf):
+    return snapshot_changes(_delivery(spark, sf, 1), _delivery(spark, sf, 2), ["o_orderkey"])
+
+
+@case("snapshot_history", f"""
+    WITH every AS ({' UNION ALL '.join(f'SELECT {n} AS place, * FROM ({_DELIVERY.format(n=n)})' for n in (1, 2, 3))}),
+    grid AS (SELECT k.o_orderkey, p.place, e.o_orderkey IS NOT NULL AS there, e.o_custkey, e.o_orderstatus, e.o_totalprice
+      FROM (SELECT DISTINCT o_orderkey FROM every) k CROSS JOIN (SELECT unnest([1, 2, 3]) AS place) p
+      LEFT JOIN every e ON e.o_orderkey = k.o_orderkey AND e.place = p.place),
+    marked AS (SELECT *, row(there, o_custkey, o_orderstatus, o_totalprice) IS DISTINCT FROM
+        lag(row(there, o_custkey, o_orderstatus, o_totalprice)) OVER (PARTITION BY o_orderkey ORDER BY place) AS begins FROM grid),
+    versions AS (SELECT o_orderkey, there, o_custkey, o_orderstatus, o_totalprice, place AS "__START_AT",
+        lead(place) OVER (PARTITION BY o_orderkey ORDER BY place) AS "__END_AT" FROM marked WHERE begins)
+    SELECT * EXCLUDE (there) FROM versions WHERE there""")
+def _(spark, sf):
+    """Three deliveries as versions; orders that vanish are closed, and open again if they come back."""
+    return snapshots_to_history([(n, _delivery(spark, sf, n)) for n in (1, 2, 3)], ["o_orderkey"], "place")
+
+
+_AGENT = "agent_id, agent_status, agent_type, avg_csat, hire_date"
+
+
+@case("incremental_snapshot_history", query(f"""SELECT * FROM (
+    WITH every AS (
+      SELECT 0 AS place, {_AGENT} FROM typed_service_agents WHERE agent_status = 'Active'
+      UNION ALL SELECT 1, {_AGENT} FROM typed_service_agents WHERE agent_status = 'Active' AND agent_type <> 'Chat'
+      UNION ALL SELECT 2, agent_id, CASE WHEN agent_type = 'Phone' THEN 'Moved' ELSE agent_status END, agent_type, avg_csat, hire_date
+        FROM typed_service_agents WHERE agent_status = 'Active' AND agent_type <> 'Branch'),
+    grid AS (SELECT k.agent_id, p.place, e.agent_id IS NOT NULL AS there, e.* EXCLUDE (agent_id, place)
+      FROM (SELECT DISTINCT agent_id FROM every) k CROSS JOIN (SELECT unnest([0, 1, 2]) AS place) p
+      LEFT JOIN every e ON e.agent_id = k.agent_id AND e.place = p.place),
+    versions AS (SELECT *, lead(place) OVER (PARTITION BY agent_id ORDER BY place) AS ends FROM (
+      SELECT *, row(there, agent_status) IS DISTINCT FROM lag(row(there, agent_status)) OVER (PARTITION BY agent_id ORDER BY place) AS begins
+      FROM grid) WHERE begins)
+    SELECT {_AGENT}, place AS "__START_AT", ends AS "__END_AT" FROM versions WHERE there)"""))
+def _(spark, sf):
+    """Three deliveries of CSV folders over two runs, several files and batches each."""
+    base, names = scratch_path(spark, "snapshots"), list(ENTITIES["service_agents"].names)
+    agents = bronze(spark, sf, "service_agents").select(*names).filter("agent_status = 'Active'")
+    moved = F.when(F.col("agent_type") == "Phone", "Moved").otherwise(F.col("agent_status"))
+    deliveries = [agents, agents.filter("agent_type <> 'Chat'"),
+                  agents.filter("agent_type <> 'Branch'").withColumn("agent_status", moved)]
+    for n, rows in enumerate(deliveries):
+        rows.repartition(3).write.option("header", True).option("escape", '"').csv(f"{base}/landing/service_agents/2026-0{n + 1}")
+        if n != 1:
+            run_incremental(spark, f"{base}/landing", base, ["service_agents"], modes={"service_agents": "snapshot_history"},
+                            buckets=2, files_per_batch=4)
+    history = read_snapshot_history(spark, base, "service_agents")
+    return history.select(*_AGENT.split(", "), "__START_AT", "__END_AT")
