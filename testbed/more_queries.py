@@ -27,6 +27,7 @@ from caudal.sinks.tables import rebuild
 from caudal.sources.files import read_files, read_strings
 from caudal.streaming.history import read_history, scd_merge
 from caudal.streaming.ingest import stream_strings
+from caudal.streaming.stateful import read_versions, versions_stream
 from testbed.oracle import big, query
 from testbed.queries import (
     _EVENTS_SQL, _METRICS_SQL, _ORDER_COLUMNS, _RULES, _VERSIONS, _event_changes, _source_metrics, _stamped,
@@ -484,3 +485,17 @@ def _(spark, sf):
                             buckets=2, files_per_batch=4)
     history = read_snapshot_history(spark, base, "service_agents")
     return history.select(*_AGENT.split(", "), "__START_AT", "__END_AT")
+
+
+@case("scd2_stateful_late", _EVENTS_SQL)
+def _(spark, sf):
+    """Keyed state instead of logs: newest changes first, oldest last, in two runs over one checkpoint."""
+    base, changes = scratch_path(spark, "stateful"), _event_changes(spark, sf)
+    middle = F.lit(changes.agg(F.avg(F.unix_micros(F.col("ts").cast("timestamp")))).scalar())
+    late = F.unix_micros(F.col("ts").cast("timestamp")) < middle
+    for part in (changes.filter(~late), changes.filter(late)):
+        part.coalesce(2).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        versions_stream(stream, f"{base}/table", f"{base}/checkpoint", ["user_id"], "ts", ["event_type"])
+    return show(read_versions(spark, f"{base}/table", ["user_id"]).select(
+        "user_id", "event_id", "event_type", "value", "__START_AT", "__END_AT"))
