@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 
 from caudal.operators.small import join_small
 from caudal.session import checkpointed
+from caudal.sources.avro import register_avro
 
-FORMATS = ("csv", "json", "parquet", "text", "xml", "orc", "binaryFile")
+#: avro is read by sources.avro, in batches only
+FORMATS = ("csv", "json", "parquet", "text", "xml", "orc", "binaryFile", "avro")
 RESCUED = "_rescued_data"
 
 
-def check_format(fmt: str) -> str:
-    if fmt not in FORMATS:
-        raise ValueError(f"format {fmt!r} has no reader in this Spark; use one of {FORMATS}")
+STREAMED = tuple(f for f in FORMATS if f != "avro")
+
+
+def check_format(fmt: str, formats: Sequence[str] = FORMATS) -> str:
+    if fmt not in formats:
+        raise ValueError(f"format {fmt!r} has no reader here; use one of {formats}")
     return fmt
 
 
 def read_files(spark: SparkSession, path, fmt: str, schema: str | None = None, **options) -> DataFrame:
     """Batch read of a folder; self-describing formats and XML may leave out ``schema``."""
-    reader = spark.read.format(check_format(fmt)).options(**options)
+    name = register_avro(spark) if check_format(fmt) == "avro" else fmt
+    reader = spark.read.format(name).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)
 
 

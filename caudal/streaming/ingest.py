@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.operators.cleanse import drop_empty_rows, ensure_columns, sanitize_names
-from caudal.sources.files import check_format, read_strings, with_provenance
+from caudal.sources.files import STREAMED, check_format, read_strings, with_provenance
 
 
 def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "csv", **options) -> DataFrame:
@@ -21,7 +21,7 @@ def stream_files(spark: SparkSession, path: str, schema: str, fmt: str = "csv",
     """
     if fmt == "csv":
         options.setdefault("enforceSchema", False)
-    reader = spark.readStream.format(check_format(fmt)).schema(schema).options(**options)
+    reader = spark.readStream.format(check_format(fmt, STREAMED)).schema(schema).options(**options)
     return with_provenance(reader.load(path))
 
 

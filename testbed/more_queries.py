@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.contracts import AUDIT_COLUMNS, ENTITIES
+from caudal.operators.asof import convert_as_of
 from caudal.operators.cleanse import ensure_columns
+from caudal.operators.intervals import first_covering_range, interval_join
 from caudal.operators.rules import drop_and_count
 from caudal.operators.scd import scd2
 from caudal.operators.snapshots import snapshot_changes, snapshots_to_history
@@ -24,11 +26,12 @@ from caudal.session import checkpointed, scratch_path
 from caudal.sinks.constrained import validated_append
 from caudal.sinks.publish import read_manifest
 from caudal.sinks.tables import rebuild
+from caudal.sources.avro import register_avro
 from caudal.sources.files import read_files, read_strings
 from caudal.streaming.history import read_history, scd_merge
 from caudal.streaming.ingest import stream_strings
 from caudal.streaming.stateful import read_versions, versions_stream
-from testbed.oracle import big, query
+from testbed.oracle import big, query, rnd
 from testbed.queries import (
     _EVENTS_SQL, _METRICS_SQL, _ORDER_COLUMNS, _RULES, _VERSIONS, _event_changes, _source_metrics, _stamped,
     _versions, ORACLE, bronze, case, clean, gold_inputs, policy_of, profile_of, show, table,
@@ -499,3 +502,68 @@ def _(spark, sf):
         versions_stream(stream, f"{base}/table", f"{base}/checkpoint", ["user_id"], "ts", ["event_type"])
     return show(read_versions(spark, f"{base}/table", ["user_id"]).select(
         "user_id", "event_id", "event_type", "value", "__START_AT", "__END_AT"))
+
+
+# --- avro ----------------------------------------------------------------------
+
+@case("read_avro", """
+    SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, strftime(l_shipdate, '%Y-%m-%d') AS shipped,
+      l_comment_or_flag, CAST(NULL AS VARCHAR) AS _rescued_data
+    FROM (SELECT *, CASE WHEN l_linenumber > 3 THEN l_returnflag END AS l_comment_or_flag FROM lineitem)""")
+def _(spark, sf):
+    """Lines written as Avro files and read back in splits that are much smaller than a file."""
+    path = scratch_path(spark, "avro")
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"),
+        F.when(F.col("l_linenumber") > 3, F.col("l_returnflag")).alias("l_comment_or_flag"))
+    lines.write.format(register_avro(spark)).mode("append").save(path)
+    return read_files(spark, path, "avro", splitBytes=200_000)
+
+
+# --- as-of and interval joins --------------------------------------------------
+
+@case("fx_as_of_gaps", query(f"""
+    SELECT transaction_id, CASE WHEN t.currency <> 'USD' THEN f.date END AS fx_date,
+      {rnd("CASE WHEN t.currency = 'USD' THEN amount ELSE amount * f.exchange_rate END", 2)} AS usd
+    FROM silver_transactions t ASOF LEFT JOIN (
+      SELECT * FROM silver_daily_exchange_rates WHERE target_currency = 'USD' AND date_diff('day', DATE '2019-01-01', date) % 11 < 2) f
+    ON f.source_currency = t.currency AND f.date <= t.process_date"""))
+def _(spark, sf):
+    """Rates of two days in eleven only: the days between take the one before; the path for large keys."""
+    fx = clean(spark, sf, "daily_exchange_rates").filter("datediff(date, DATE '2019-01-01') % 11 < 2")
+    usd = convert_as_of(clean(spark, sf, "transactions"), fx, {"amount": "usd"}, "currency", F.col("process_date"), hot_rows=100)
+    return usd.select("transaction_id", "fx_date", F.round("usd", 2).alias("usd"))
+
+
+# the same SELECTs for both engines
+_PRICES = "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS price, l_suppkey % 3 AS zone FROM lineitem"
+_OFFERS = """SELECT o_orderkey, o_custkey % 3 AS zone, CASE WHEN o_orderkey % 1000 <> 7 THEN CAST(o_totalprice AS DOUBLE) / 4e0 END AS low,
+  CAST(o_totalprice AS DOUBLE) / 4e0 + CASE o_orderkey % 5 WHEN 0 THEN 0e0 WHEN 1 THEN 25e-2 WHEN 2 THEN 4e0 WHEN 3 THEN 15e0 ELSE -1e0 END AS high
+  FROM orders"""
+
+
+def _prices_and_offers(spark, sf):
+    for name in ("lineitem", "orders"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    return spark.sql(_PRICES), spark.sql(_OFFERS)
+
+
+@case("interval_pairs", f"""
+    SELECT o_orderkey, {big('count(*)')} AS lines, min(l_orderkey) AS l_orderkey FROM ({_PRICES}) p JOIN ({_OFFERS}) o
+    ON p.zone = o.zone AND (low IS NULL OR low <= price) AND price < high GROUP BY o_orderkey""")
+def _(spark, sf):
+    """Short, long, open and empty ranges, one for each order."""
+    prices, offers = _prices_and_offers(spark, sf)
+    pairs = interval_join(prices, offers, "price", "low", "high", ["zone"], closed=False)
+    return pairs.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.min("l_orderkey").alias("l_orderkey"))
+
+
+@case("interval_first_match", f"""
+    SELECT l_orderkey, l_linenumber, min(o_orderkey) AS o_orderkey, nullif({big('count(o_orderkey)')}, 0) AS n
+    FROM (SELECT row_number() OVER () AS line, * FROM ({_PRICES})) p
+    LEFT JOIN ({_OFFERS}) o ON p.zone = o.zone AND (low IS NULL OR low <= price) AND price <= high
+    GROUP BY line, l_orderkey, l_linenumber""")
+def _(spark, sf):
+    prices, offers = _prices_and_offers(spark, sf)
+    found = first_covering_range(prices, offers, "price", "low", "high", "o_orderkey", group=["zone"])
+    return found.select("l_orderkey", "l_linenumber", "_match.o_orderkey", F.col("_match._ranges").alias("n"))

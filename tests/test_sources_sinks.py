@@ -50,7 +50,7 @@ def test_formats(spark, tmp_path):
     assert read_files(spark, str(tmp_path / "o"), "orc").count() == 3
     path = write(tmp_path / "x", "a.xml", "<rows><row><a>1</a></row><row><a>2</a></row></rows>")
     assert read_files(spark, path, "xml", rowTag="row").count() == 2
-    for unsupported in ("avro", "excel"):
+    for unsupported in ("xls", "excel"):
         with pytest.raises(ValueError):
             read_files(spark, path, unsupported)
 
