@@ -7,6 +7,7 @@ can be repeated from the last written stage and no plan grows across stages.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
@@ -20,7 +21,7 @@ from caudal.plans.summaries import (
     case_context, cashflow_summary, complaints_summary, products_summary,
 )
 from caudal.quality.gate import record_and_gate
-from caudal.quality.metrics import case_metrics, gold_metrics, source_metrics
+from caudal.quality.metrics import case_metrics, clean_counts, gold_metrics, raw_counts, written_metrics
 from caudal.sinks.publish import publish
 from caudal.sinks.tables import rebuild
 from caudal.sources.files import read_strings
@@ -39,13 +40,15 @@ def _tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str,
 
 def load_bronze(
     spark: SparkSession, landing: str, base: str, entities: Sequence[str] = tuple(ENTITIES),
-    multiline: bool = True,
+    multiline: bool = True, counts: dict[str, dict] | None = None,
 ) -> dict[str, DataFrame]:
-    """CSV folders ``<landing>/<entity>`` to raw tables."""
+    """CSV folders ``<landing>/<entity>`` to raw tables; ``counts`` gets what their metrics need, taken while writing."""
     for name in entities:
         spec = ENTITIES[name]
         raw = read_strings(spark, f"{landing}/{name}", spec.names, multiline=multiline)
-        rebuild(raw, f"{base}/bronze/{name}", spec.partition_by)
+        seen = rebuild(raw, f"{base}/bronze/{name}", spec.partition_by, watch=raw_counts(spec))
+        if counts is not None:
+            counts[name] = seen
     return read_bronze(spark, base, entities)
 
 
@@ -67,13 +70,18 @@ def read_bronze(
 
 
 def build_silver(
-    spark: SparkSession, bronze: Mapping[str, DataFrame], base: str, run_id: str = ""
+    spark: SparkSession, bronze: Mapping[str, DataFrame], base: str, run_id: str = "",
+    counts: Mapping[str, dict] | None = None,
 ) -> dict[str, DataFrame]:
-    """Clean tables, their metrics, and the gate."""
+    """Clean tables, their metrics, and the gate; ``counts`` are those of ``load_bronze``, without which raw tables are read for them."""
+    seen = {}
     for name, raw in bronze.items():
-        rebuild(silver(raw, name), f"{base}/silver/{name}", ENTITIES[name].partition_by)
+        spec = ENTITIES[name]
+        seen[name] = rebuild(silver(raw, name), f"{base}/silver/{name}", spec.partition_by, watch=clean_counts(spec))
     clean = _tables(spark, f"{base}/silver", list(bronze))
-    record_and_gate(spark, source_metrics(bronze, clean), f"{base}/gold/pipeline_quality_metrics",
+    raw_seen = {n: (counts or {}).get(n) or raw.agg(*raw_counts(ENTITIES[n])).first().asDict() for n, raw in bronze.items()}
+    metrics = reduce(DataFrame.unionByName, (written_metrics(raw_seen[n], seen[n], clean[n], n) for n in bronze))
+    record_and_gate(spark, metrics, f"{base}/gold/pipeline_quality_metrics",
                     ("bronze", "silver"), run_id)
     return clean
 
@@ -136,7 +144,8 @@ def run_medallion(
 ) -> dict:
     """Files to published gold; returns the manifest."""
     policy = resolve_policy(dict(policy_tables), as_of)
-    clean = build_silver(spark, load_bronze(spark, landing, base), base, run_id)
+    counts: dict[str, dict] = {}
+    clean = build_silver(spark, load_bronze(spark, landing, base, counts=counts), base, run_id, counts)
     credit = build_credit(spark, clean, policy, base)
     summaries = build_summaries(spark, clean, policy, base)
     return check_and_publish(spark, clean, credit, summaries, policy, base, run_id)

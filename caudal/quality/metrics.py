@@ -46,11 +46,7 @@ def table_metrics(bronze: DataFrame, silver: DataFrame, name: str, spec: Entity
     group sizes, and once more for the content key.
     """
     spec = spec or ENTITIES[name]
-    raw = bronze.agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(F.col("_rescued_data").isNotNull()).alias("rescued"),
-        F.count_if(_any_null(spec.key)).alias("null_keys"),
-    )
+    raw = bronze.agg(*raw_counts(spec))
     shares = list(spec.max_null_share)
     per_key = silver.groupBy(*spec.key).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -62,7 +58,37 @@ def table_metrics(bronze: DataFrame, silver: DataFrame, name: str, spec: Entity
         *[F.sum(f"_null_{c}").alias(f"_null_{c}") for c in shares],
     )
     # every part is one row
-    one = raw.crossJoin(clean)
+    return _source_rows(raw.crossJoin(clean), silver, name, spec)
+
+
+def raw_counts(spec: Entity) -> list[Column]:
+    """What is counted of a raw table."""
+    return [
+        F.count(F.lit(1)).alias("raw_rows"),
+        F.count_if(F.col("_rescued_data").isNotNull()).alias("rescued"),
+        F.count_if(_any_null(spec.key)).alias("null_keys"),
+    ]
+
+
+def clean_counts(spec: Entity) -> list[Column]:
+    """What is counted of a clean table besides duplicates."""
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in spec.max_null_share]
+    return [F.count(F.lit(1)).alias("clean_rows"), *nulls]
+
+
+def written_metrics(raw: Mapping, clean: Mapping, silver: DataFrame, name: str, spec: Entity | None = None) -> DataFrame:
+    """The metrics of ``table_metrics`` from counts taken while both tables were written; only duplicates are counted now,
+    from the key columns and the content key of ``silver``."""
+    spec = spec or ENTITIES[name]
+    known = {**raw, **clean}
+    shape = ", ".join(f"`{column}` long" for column in known)
+    counted = silver.sparkSession.createDataFrame([tuple(known.values())], shape)
+    per_key = silver.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("_n"))
+    copies = per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("key_duplicates"))
+    return _source_rows(counted.crossJoin(copies), silver, name, spec)
+
+
+def _source_rows(one: DataFrame, silver: DataFrame, name: str, spec: Entity) -> DataFrame:
     rows, missing = F.col("raw_rows"), F.col("null_keys")
     removed = (rows - missing - F.col("clean_rows")) / F.nullif(rows, F.lit(0))
     metrics = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def rebuild(
@@ -13,20 +13,27 @@ def rebuild(
     path: str,
     partition_by: str | None = None,
     cluster_by: Sequence[str] = (),
-) -> None:
+    watch: Sequence[Column] = (),
+) -> dict | None:
     """Replace the table at ``path``, schema included.
 
     With ``partition_by`` the rows are rebalanced by that column: few files per
     folder, and a date that holds most of the rows is split over many tasks.
     ``cluster_by`` sorts the table into ranges of those columns.
+    ``watch`` are named aggregates of the written rows; they are counted in the tasks that write, so none is counted twice
+    if a task is repeated, and returned.
     """
     if cluster_by:
         layout = [c for c in (partition_by, *cluster_by) if c]
         df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
     elif partition_by:
         df = df.hint("rebalance", partition_by)
+    seen = Observation() if watch else None
+    if seen:
+        df = df.observe(seen, *watch)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return seen.get if seen else None
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +14,23 @@ from caudal.operators.cleanse import ensure_columns
 from caudal.operators.intervals import first_covering_range, interval_join
 from caudal.operators.rules import drop_and_count
 from caudal.operators.scd import scd2
+from caudal.operators import sketches
 from caudal.operators.snapshots import snapshot_changes, snapshots_to_history
+from caudal.operators.zorder import rebuild_zordered
 from caudal.plans import policy as pol
 from caudal.plans import summaries
 from caudal.plans.incremental import read_snapshot, read_snapshot_history, run_incremental
-from caudal.plans.medallion import build_summaries, refresh_policy
+from caudal.plans.medallion import build_silver, build_summaries, refresh_policy
 from caudal.plans.offers import CARRY, accepted_offers, undeclared
 from caudal.plans.options import offer_options
 from caudal.plans.profile import credit_profile
 from caudal.quality.contract import contract_columns, contract_metrics, contract_violations
-from caudal.quality.metrics import case_metrics
+from caudal.quality.metrics import case_metrics, raw_counts
 from caudal.quality.gate import QualityGateError, record_and_gate
 from caudal.session import checkpointed, scratch_path
+from caudal.sinks.bucketed import bucketed_inputs
 from caudal.sinks.constrained import validated_append
+from caudal.sinks.partitions import read_partitions, replace_partitions
 from caudal.sinks.publish import read_manifest
 from caudal.sinks.tables import rebuild
 from caudal.sources.avro import register_avro
@@ -567,3 +574,70 @@ def _(spark, sf):
     prices, offers = _prices_and_offers(spark, sf)
     found = first_covering_range(prices, offers, "price", "low", "high", "o_orderkey", group=["zone"])
     return found.select("l_orderkey", "l_linenumber", "_match.o_orderkey", F.col("_match._ranges").alias("n"))
+
+
+# --- layouts -------------------------------------------------------------------
+
+_MONTHLY = "SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m') AS month FROM orders"
+
+
+@case("replace_partitions", f"""
+    SELECT * REPLACE (CASE WHEN month LIKE '%-03' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice)
+    FROM ({_MONTHLY}) WHERE month NOT LIKE '%-04' AND NOT (month LIKE '%-03' AND o_orderkey % 2 = 0)""")
+def _(spark, sf):
+    """All months, then another version of each March, which takes each April away."""
+    path = scratch_path(spark, "monthly")
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    replace_partitions(orders, path, "month")
+    march = orders.filter("month LIKE '%-03' AND o_orderkey % 2 = 1").withColumn("o_totalprice", -F.col("o_totalprice"))
+    replace_partitions(march, path, "month", covers=[f"{year}-04" for year in range(1990, 2011)])
+    return read_partitions(spark, path)
+
+
+@case("rebuild_zordered", "SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem")
+def _(spark, sf):
+    path = scratch_path(spark, "zordered")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    rebuild_zordered(rows, path, ["l_shipdate", "l_extendedprice", "l_orderkey"])
+    return spark.read.parquet(path)
+
+
+_SHARES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.999, 1.0]
+
+
+@case("quantile_sketch", f"""
+    SELECT l_returnflag, CAST(unnest([{', '.join(map(str, _SHARES))}]) AS DOUBLE) AS share, n, TRUE AS within
+    FROM (SELECT l_returnflag, {big('count(*)')} AS n FROM lineitem GROUP BY l_returnflag)""")
+def _(spark, sf):
+    """Daily sketches merged; whether the exact rank of each quantile, counted over all rows, is within the stated error."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_shipdate", F.col("l_extendedprice").cast("double").alias("v"))
+    merged = sketches.merge(sketches.sketch(lines, ["l_returnflag", "l_shipdate"], "v"), ["l_returnflag"])
+    wanted = F.arrays_zip(F.array(*map(F.lit, _SHARES)).alias("share"), sketches.quantiles(_SHARES).alias("q"))
+    found = merged.select("l_returnflag", F.explode(wanted).alias("w")).select("l_returnflag", "w.share", "w.q")
+    ranks = lines.join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag", "share").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("v") < F.col("q")).cast("int")).alias("below"),
+        F.avg((F.col("v") <= F.col("q")).cast("int")).alias("upto"))
+    error = sketches.rank_error()
+    return ranks.select("l_returnflag", "share", "n", ((F.col("below") - error <= F.col("share")) & (F.col("share") <= F.col("upto") + error)).alias("within"))
+
+
+@case("silver_metrics_written", query(_METRICS_SQL))
+def _(spark, sf):
+    """The metrics of a run that counts while it writes."""
+    base = scratch_path(spark, "counted")
+    raws, counts = {}, {}
+    for name, spec in ENTITIES.items():
+        counts[name] = rebuild(bronze(spark, sf, name), f"{base}/bronze/{name}", watch=raw_counts(spec))
+        raws[name] = spark.read.parquet(f"{base}/bronze/{name}")
+    with contextlib.suppress(QualityGateError):  # these tables have more duplicates than the gate lets pass
+        build_silver(spark, raws, base, "counted", counts)
+    metrics = spark.read.parquet(f"{base}/gold/pipeline_quality_metrics")
+    return metrics.select("layer", "table_name", "metric", "value", "threshold", "status")
+
+
+@case("profile_bucketed", query("SELECT * FROM profile"))
+def _(spark, sf):
+    """The profile from tables in buckets of customers."""
+    stored = bucketed_inputs(spark, gold_inputs(spark, sf), "customer_id", 8, f"gold_{uuid.uuid4().hex}")
+    return show(credit_profile(stored, policy_of(spark)))

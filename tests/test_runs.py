@@ -53,3 +53,19 @@ def test_a_broken_source_stops_the_run(spark, landing, tmp_path):
     nobody = {"customers": bronze["customers"].withColumn("credit_score", F.lit(None).cast("string"))}
     with pytest.raises(QualityGateError, match="null_share_credit_score"):
         build_silver(spark, nobody, str(tmp_path), "bad")
+
+
+def test_metrics_of_a_run_come_from_its_writes(spark, landing, tmp_path, monkeypatch):
+    """Counts taken while writing are those of tables scanned afterwards, and no plan reads a raw table for them."""
+    from caudal.plans import medallion
+    from caudal.quality.metrics import source_metrics
+    names, counts, plans = ["products", "service_agents"], {}, []
+    monkeypatch.setattr(medallion, "record_and_gate", lambda spark, metrics, *_: plans.append(metrics))
+    bronze = medallion.load_bronze(spark, landing, str(tmp_path), names, counts=counts)
+    clean = medallion.build_silver(spark, bronze, str(tmp_path), "r", counts)
+    scanned = sorted(map(tuple, source_metrics(bronze, clean).collect()))
+    assert sorted(map(tuple, plans[0].collect())) == scanned
+    plan = plans[0].select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "/bronze/" not in plan
+    # the key columns of each table, and its content key if it has one
+    assert plan.count("FileScan") == sum(1 + bool(ENTITIES[n].content_key) for n in names)
