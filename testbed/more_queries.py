@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caudal.contracts import AUDIT_COLUMNS, ENTITIES
 from caudal.operators.asof import convert_as_of
-from caudal.operators.cleanse import ensure_columns
+from caudal.operators.cleanse import declared_type, ensure_columns, flags_to_boolean
 from caudal.operators.intervals import first_covering_range, interval_join
 from caudal.operators.rules import drop_and_count
 from caudal.operators.scd import scd2
@@ -31,7 +31,7 @@ from caudal.session import checkpointed, scratch_path
 from caudal.sinks.bucketed import bucketed_inputs
 from caudal.sinks.constrained import validated_append
 from caudal.sinks.partitions import read_partitions, replace_partitions
-from caudal.sinks.publish import read_manifest
+from caudal.sinks.publish import read_export, read_manifest
 from caudal.sinks.tables import rebuild
 from caudal.sources.avro import register_avro
 from caudal.sources.files import read_files, read_strings
@@ -374,6 +374,23 @@ def _(spark, sf):
       UNION ALL SELECT 'ref_segment_adjustments', count(*) FROM ref_segment_adjustments)"""))
 def _(spark, sf):
     """A policy refresh on stored clean tables: profile, options, gate, and the whole export."""
+    return read_manifest(spark, _refreshed(spark, sf)).select("table_name", "n_rows", "as_of_date")
+
+
+# columns of the profile that the options have too
+_SHARED = "total_rate_adjustment_pp, offer_mode, local_currency, fx_to_usd, risk_band, segment, as_of_date, policy_version"
+
+
+@case("refresh_run_tables", query(f"SELECT * FROM options JOIN (SELECT * EXCLUDE ({_SHARED}) FROM profile) USING (customer_id)", "DATE '2026-03-31'"))
+def _(spark, sf):
+    """The options a refresh exported, by value, each with the exported profile of its customer."""
+    path = _refreshed(spark, sf)
+    profile = read_export(spark, path, "customer_credit_profile").drop(*_SHARED.split(", "))
+    return show(read_export(spark, path, "customer_credit_offer_options").drop("computed_at").join(profile, "customer_id"))
+
+
+def _refreshed(spark: SparkSession, sf: str) -> str:
+    """The folder of the export of a refresh for an earlier date."""
     base = scratch_path(spark, "refresh")
     stored = gold_inputs(spark, sf)
     for name, df in stored.items():
@@ -382,7 +399,7 @@ def _(spark, sf):
     tables = {n: spark.read.parquet(f"{base}/silver/{n}") for n in stored}
     build_summaries(spark, {**tables, "call_center_interactions": clean(spark, sf, "call_center_interactions")}, policy, base)
     refresh_policy(spark, base, pol.policy_tables(spark), "2026-03-31", "r1", sources=list(stored))
-    return read_manifest(spark, f"{base}/exports").select("table_name", "n_rows", "as_of_date")
+    return f"{base}/exports"
 
 
 # --- merges that read little of their past -----------------------------------
@@ -641,3 +658,32 @@ def _(spark, sf):
     """The profile from tables in buckets of customers."""
     stored = bucketed_inputs(spark, gold_inputs(spark, sf), "customer_id", 8, f"gold_{uuid.uuid4().hex}")
     return show(credit_profile(stored, policy_of(spark)))
+
+
+# --- declared types, grouping by all ---------------------------------------------
+
+_DECLARED = {"o_orderkey": "bigint", "o_totalprice": "numeric(12, 1)", "is_open": "bit", "o_orderdate": "date", "o_comment": "nvarchar(40)"}
+
+
+@case("declared_types", """
+    SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(12,1)) AS DOUBLE) AS o_totalprice, o_orderstatus = 'O' AS is_open,
+      CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority AS o_comment FROM orders""")
+def _(spark, sf):
+    """Text columns cast to the types a database declares, its flags to booleans."""
+    text = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(14,4)").cast("string").alias("o_totalprice"),
+        F.when(F.col("o_orderstatus") == "O", "1").otherwise("0").alias("is_open"),
+        F.to_date("o_orderdate").cast("string").alias("o_orderdate"), F.col("o_orderpriority").alias("o_comment"))
+    flagged = flags_to_boolean(text, _DECLARED)
+    casts = {c: F.col(c).cast(declared_type(t)) for c, t in _DECLARED.items() if t != "bit"}
+    return flagged.withColumns(casts).withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+
+
+_GROUPED = """SELECT country, product_type, currency, product_status, count(*) AS n, count(DISTINCT customer_id) AS customers,
+    max(days_past_due) AS latest FROM {products} JOIN {customers} USING (customer_id) GROUP BY ALL"""
+
+
+@case("group_by_all", query(f"SELECT * REPLACE ({big('n')} AS n, {big('customers')} AS customers) FROM ({_GROUPED.format(products='silver_products', customers='silver_customers')})"))
+def _(spark, sf):
+    """What customers hold, grouped by every column that is no aggregate."""
+    return spark.sql(_GROUPED, products=clean(spark, sf, "products"), customers=clean(spark, sf, "customers"))

@@ -9,7 +9,7 @@ from caudal.plans import policy as pol
 from testbed import recast
 
 AS_OF = "DATE '2026-06-30'"
-_OPEN = "('Open', 'In Process', 'Escalated')"
+OPEN_STATUSES = "('Open', 'In Process', 'Escalated')"  # fixed values: complaints with one of these are open
 
 
 # --- helpers ---------------------------------------------------------------
@@ -160,9 +160,9 @@ CTE["flows"] = f"""
     LEFT JOIN fx_now ON ccy = currency
     WHERE customer_id IS NOT NULL AND (dep OR fr) GROUP BY customer_id"""
 CTE["gripes"] = f"""
-    SELECT customer_id, {n_if(f'status IN {_OPEN}')} AS open_complaints,
-      {n_if(f"status IN {_OPEN} AND priority IN ('High', 'Critical')")} AS open_priority_complaints,
-      {n_if(f"status IN {_OPEN} AND priority = 'Critical'")} AS open_critical_complaints
+    SELECT customer_id, {n_if(f'status IN {OPEN_STATUSES}')} AS open_complaints,
+      {n_if(f"status IN {OPEN_STATUSES} AND priority IN ('High', 'Critical')")} AS open_priority_complaints,
+      {n_if(f"status IN {OPEN_STATUSES} AND priority = 'Critical'")} AS open_critical_complaints
     FROM silver_complaints WHERE customer_id IS NOT NULL GROUP BY customer_id"""
 CTE["limits"] = f"""
     SELECT c.customer_id, b.band AS risk_band, coalesce(b.offer_allowed, false) AS band_ok,
@@ -278,12 +278,15 @@ CTE["redeclared"] = f"""
           CASE WHEN hh THEN coalesce(new_income_usd, income_used_usd, 0e0) + household_income_usd
                ELSE coalesce(new_income_usd, income_used_usd) END AS inc,
           current_installments_usd + coalesce(external_installments_usd, 0e0)
-            + CASE WHEN hh THEN household_installments_usd ELSE 0e0 END AS dbt
+            + CASE WHEN hh THEN household_installments_usd ELSE 0e0 END AS dbt,
+          new_income_usd, household_income_usd, household_installments_usd, external_installments_usd
         FROM profile p JOIN (SELECT *, household_income_usd IS NOT NULL AND household_installments_usd IS NOT NULL AS hh
           FROM declarations QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY declared_at DESC) = 1) USING (customer_id)))"""
 CTE["re_options"] = f"""
     SELECT {_OPTION_COLUMNS}, income_used_usd, income_source, current_installments_usd, max_total_installment_usd,
-      newinc AS uses_declared_income, declared AS uses_declared_data,
+      newinc AS uses_declared_income, declared AS uses_declared_data, fx_date,
+      open_complaints, open_priority_complaints, open_critical_complaints,
+      new_income_usd, household_income_usd, household_installments_usd, external_installments_usd,
       {rnd('(current_installments_usd + ' + rnd('inst', 2) + ') / nullif(income_used_usd, 0)', 4)} AS debt_to_income_after,
       CASE WHEN avail THEN concat_ws(',',
         CASE WHEN newinc AND (current_installments_usd + {rnd('inst', 2)}) / nullif(income_used_usd, 0) >= 19e-2 THEN 'F02_NEAR_LIMIT_DECLARED_INCOME' END,
@@ -319,16 +322,16 @@ CTE["cashflow_sum"] = f"""
 CTE["complaints_sum"] = f"""
     SELECT customer_id, {big('count(*)')} AS total_complaints, {n_if("case_type = 'Claim'")} AS total_claims,
       {n_if("case_type = 'Complaint'")} AS total_complaints_only, {n_if("case_type = 'Request'")} AS total_requests,
-      {n_if("case_type = 'Suggestion'")} AS total_suggestions, {n_if(f'status IN {_OPEN}')} AS open_cases,
+      {n_if("case_type = 'Suggestion'")} AS total_suggestions, {n_if(f'status IN {OPEN_STATUSES}')} AS open_cases,
       {n_if("status IN ('Resolved', 'Closed')")} AS resolved_cases, {n_if("status = 'Rejected'")} AS rejected_cases,
       {n_if("priority = 'Critical'")} AS critical_cases,
-      {n_if(f"status IN {_OPEN} AND priority IN ('High', 'Critical')")} AS open_priority_cases,
+      {n_if(f"status IN {OPEN_STATUSES} AND priority IN ('High', 'Critical')")} AS open_priority_cases,
       {n_if('sla_breached')} AS sla_breaches, {n_if('is_repeat_complainer')} AS repeat_complaint_flags,
       {rnd('sum(claim)', 2)} AS total_claimed_amount_usd, {rnd('sum(comp)', 2)} AS total_compensation_granted_usd,
       {rnd('avg(resolution_days)', 4)} AS avg_resolution_days, max(resolution_days) AS max_resolution_days,
       {rnd('avg(resolution_satisfaction)', 4)} AS avg_resolution_satisfaction,
       bool_or(coalesce(sla_breached, false)) AS has_sla_breach, bool_or(priority = 'Critical') AS has_critical_complaint,
-      bool_or(status IN {_OPEN} AND priority IN ('High', 'Critical')) AS has_open_priority_complaint
+      bool_or(status IN {OPEN_STATUSES} AND priority IN ('High', 'Critical')) AS has_open_priority_complaint
     FROM (SELECT c.*, claimed_amount * CASE WHEN currency = 'USD' THEN 1e0 ELSE a.rate END AS claim,
         compensation_granted * CASE WHEN currency = 'USD' THEN 1e0 ELSE b.rate END AS comp
       FROM silver_complaints c CROSS JOIN fx_last

@@ -18,6 +18,7 @@ from caudal.operators.quantiles import exact_quantiles
 from caudal.operators.rules import split_by_rules
 from caudal.operators.scd import END, START, scd1, scd2
 from caudal.plans import derivation, offers, summaries
+from caudal.plans.medallion import POLICY_TABLES
 from caudal.plans.options import featured_options, offer_options, option_grid
 from caudal.plans.policy import Policy, policy_tables, resolve_policy
 from caudal.plans.profile import (
@@ -36,7 +37,7 @@ from caudal.sources.ledger import list_files, new_files
 from caudal.streaming.history import merge_stream, read_history
 from caudal.streaming.ingest import append_flow, append_stream, stream_files, stream_table, to_bronze
 from testbed import recast
-from testbed.oracle import big, installment, n_if, principal, query, rnd, shown, stamp
+from testbed.oracle import OPEN_STATUSES, big, installment, n_if, principal, query, rnd, shown, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -422,12 +423,18 @@ def _(spark, sf):
 
 
 @case("range_first_match", query("""
-    SELECT o_orderkey, (SELECT min(term_months) FROM ref_term_grid WHERE product_code = 'MG' AND max_amount_usd >= o_totalprice / 3) AS term_months
-    FROM orders"""))
+    SELECT o_orderkey, product_code, (SELECT min(g.term_months) FROM ref_term_grid g
+      WHERE g.product_code = o.product_code AND g.max_amount_usd >= o_totalprice / 9) AS term_months
+    FROM (SELECT o_orderkey, o_totalprice, codes[1 + o_orderkey % len(codes)] AS product_code
+      FROM orders CROSS JOIN (SELECT list_sort(list(DISTINCT product_code)) AS codes FROM ref_term_grid)) o"""))
 def _(spark, sf):
-    grid = policy_of(spark).tables["ref_term_grid"].filter("product_code = 'MG'")
-    return first_covering(table(spark, sf, "orders"), grid, F.col("o_totalprice") / 3, "max_amount_usd",
-                          "term_months", []).select("o_orderkey", F.col("_match.term_months").alias("term_months"))
+    """Every product of the grid, dealt over the orders."""
+    grid = policy_of(spark).tables["ref_term_grid"]
+    codes = F.broadcast(grid.agg(F.array_sort(F.collect_set("product_code")).alias("codes")))
+    at = (F.col("o_orderkey") % F.size("codes") + 1).cast("int")
+    wanted = table(spark, sf, "orders").crossJoin(codes).withColumn("product_code", F.element_at("codes", at))
+    found = first_covering(wanted, grid, F.col("o_totalprice") / 9, "max_amount_usd", "term_months", [], group="product_code")
+    return found.select("o_orderkey", "product_code", F.col("_match.term_months").alias("term_months"))
 
 
 @case("band_lookup", query("SELECT customer_id, risk_band AS band FROM limits"))
@@ -620,8 +627,8 @@ def _(spark, sf):
 @case("recalculated_offers", query("SELECT * FROM re_options"))
 def _(spark, sf):
     redone = offers.recalculate(profile_of(spark, sf), recast.raw(spark, sf, "declarations"), policy_of(spark))
-    return show(redone.drop("fx_date", "open_complaints", "open_priority_complaints", "open_critical_complaints",
-                            "customer_declared_data"))
+    said = F.from_json("customer_declared_data", ", ".join(f"{a} double" for a in offers.AMOUNTS))
+    return show(redone.withColumn("_said", said).select("*", "_said.*").drop("_said", "customer_declared_data"))
 
 
 # --- accepted offers ---------------------------------------------------------
@@ -640,26 +647,36 @@ def _acceptances(spark, sf):
     return offers.accepted_offers(options, taken, policy), policy
 
 
+# all 42 columns of the record, and why it is refused
 _RECORD = f"""
-    SELECT concat_ws('-', 'F', product_code, term_months, substr(customer_id, 1, 3)) AS offer_id, customer_id, option_code, term_months, product_code,
-      amt AS amount_usd, {rnd('inst_now', 2)} AS monthly_installment_usd, {rnd('dti', 4)} AS debt_to_income_after,
-      CASE WHEN offer_mode = 'proactive' THEN 'proactive' ELSE 'customer_interest' END AS offer_origin,
-      CASE WHEN oc > 0 THEN 'F04_OPEN_COMPLAINTS' ELSE '' END AS flags, DATE '2026-07-31' AS valid_until,
+    SELECT concat_ws('-', 'F', product_code, term_months, substr(customer_id, 1, 3)) AS offer_id, customer_id, 's' AS session_id,
+      'chat' AS channel, 'es' AS language, CASE WHEN offer_mode = 'proactive' THEN 'proactive' ELSE 'customer_interest' END AS offer_origin,
+      option_code, product_code, product_type, tier, term_months, amt AS amount_usd, offer_rate_pct AS annual_rate_pct,
+      {rnd('inst_now', 2)} AS monthly_installment_usd, local_currency, fx_to_usd, fx_date, round(amt / fx_to_usd) AS amount_local,
+      round(inst_now / fx_to_usd) AS monthly_installment_local, income_used_usd, income_source, debt_now AS current_installments_usd,
+      max_total_installment_usd, {rnd('dti', 4)} AS debt_to_income_after, risk_band, segment, total_rate_adjustment_pp AS rate_adjustment_pp,
+      CAST(NULL AS VARCHAR) AS customer_declared_data, CAST(oc AS INTEGER) AS open_complaints,
+      CAST(open_priority_complaints AS INTEGER) AS open_priority_complaints, CAST(open_critical_complaints AS INTEGER) AS open_critical_complaints,
+      false AS is_conditional, CASE WHEN oc > 0 THEN 'F04_OPEN_COMPLAINTS' ELSE '' END AS flags, 'identity_document' AS required_documents,
+      'accepted' AS status, CAST(NULL AS VARCHAR) AS handoff_ticket_id, CAST(NULL AS VARCHAR) AS advisor_summary,
+      DATE '2026-07-31' AS valid_until, as_of_date AS profile_as_of_date, policy_version, '2026-07-01 10:00:00.000000' AS created_at,
+      CAST(NULL AS VARCHAR) AS updated_at, concat_ws(',', CASE WHEN amt < option_min_amount_usd THEN 'below_minimum' END,
+        CASE WHEN amt > option_max_amount_usd THEN 'above_maximum' END) AS refusal_reasons,
       concat_ws(',', CASE WHEN amt < option_min_amount_usd THEN 'below_minimum' END, CASE WHEN amt > option_max_amount_usd THEN 'above_maximum' END,
         CASE WHEN amt <= 0 THEN 'positive_amounts' END, CASE WHEN dti > 2e-1 + 1e-9 THEN 'within_debt_limit' END) AS broken
     FROM (SELECT *, {installment('amt', 'offer_rate_pct', 'term_months')} AS inst_now,
         (debt_now + {installment('amt', 'offer_rate_pct', 'term_months')}) / income_used_usd AS dti
       FROM (SELECT *, offer_max_amount_usd * (CASE WHEN term_months >= 240 THEN 2e0 WHEN term_months = 36 THEN -1e0 ELSE 9e-1 END) AS amt
-        FROM options JOIN (SELECT customer_id, income_used_usd, current_installments_usd AS debt_now, open_complaints AS oc FROM profile) USING (customer_id)
+        FROM options JOIN (SELECT customer_id, income_used_usd, income_source, max_total_installment_usd, fx_date,
+            current_installments_usd AS debt_now, open_complaints AS oc, open_priority_complaints, open_critical_complaints
+          FROM profile) USING (customer_id)
         WHERE is_available))"""
-_SHOWN = ["offer_id", "customer_id", "option_code", "term_months", "product_code", "amount_usd",
-          "monthly_installment_usd", "debt_to_income_after", "offer_origin", "flags", "valid_until"]
 
 
 @case("accepted_offers", query(f"SELECT * EXCLUDE (broken) FROM ({_RECORD})"))
 def _(spark, sf):
     record, _ = _acceptances(spark, sf)
-    return show(record.select(*_SHOWN), {"debt_to_income_after": 4})
+    return show(record, {"debt_to_income_after": 4})
 
 
 @case("accepted_offers_valid", query(f"""
@@ -668,7 +685,7 @@ def _(spark, sf):
 def _(spark, sf):
     record, policy = _acceptances(spark, sf)
     accepted, _ = validate(record, None, **offers.offer_rules(policy))
-    return show(accepted.select(*_SHOWN), {"debt_to_income_after": 4})
+    return show(accepted, {"debt_to_income_after": 4})
 
 
 @case("accepted_offers_rejected", query(f"""
@@ -705,27 +722,27 @@ def _(spark, sf):
     return show(df, {c: 2 for c in df.columns if c.endswith("_usd_90d")})
 
 
-# The rule: open cases are complaints that are not settled, of any age up to the cutoff, and contacts of the
+# The rule: open cases are complaints with an open status, of any age up to the cutoff, and contacts of the
 # 90 days up to the cutoff that were left unresolved, need more work, and led to no complaint.
-@case("case_context", query("""
-    SELECT * FROM (WITH settled(status) AS (VALUES ('Resolved'), ('Closed'), ('Rejected')),
+@case("case_context", query(f"""
+    SELECT * FROM (WITH
     led_to_complaint AS (SELECT DISTINCT origin_interaction_id AS interaction_id FROM silver_complaints WHERE origin_interaction_id IS NOT NULL),
     cases AS (
       SELECT customer_id, 'complaint' AS case_source, complaint_id AS case_id, CAST(creation_date AS DATE) AS opened_on,
         reception_channel AS channel, category, case_type, priority, status, sla_breached, is_repeat_complainer, NULL AS sentiment,
-        CAST(status = 'Escalated' AS BOOLEAN) AS is_escalated
-      FROM silver_complaints ANTI JOIN settled USING (status) WHERE status IS NOT NULL
+        status = 'Escalated' AS is_escalated
+      FROM silver_complaints WHERE status IN {OPEN_STATUSES}
       UNION ALL BY NAME
       SELECT customer_id, 'interaction' AS case_source, interaction_id AS case_id, CAST(interaction_date AS DATE) AS opened_on,
         channel, reason_category AS category, 'Unresolved' AS status, detected_sentiment AS sentiment, was_escalated AS is_escalated
       FROM silver_call_center_interactions ANTI JOIN led_to_complaint USING (interaction_id)
       WHERE NOT was_resolved AND (coalesce(requires_followup, false) OR coalesce(was_escalated, false))
-        AND date_diff('day', CAST(interaction_date AS DATE), {as_of}) < 90)
+        AND date_diff('day', CAST(interaction_date AS DATE), {{as_of}}) < 90)
     SELECT customer_id, case_source, case_id, opened_on, channel, category, case_type, priority, status, sentiment,
       coalesce(is_escalated, false) AS is_escalated, coalesce(sla_breached, false) AS sla_breached,
       coalesce(is_repeat_complainer, false) AS is_repeat_complainer,
-      CAST(date_diff('day', opened_on, {as_of}) AS INTEGER) AS days_open, {as_of} AS as_of_date
-    FROM cases WHERE opened_on <= {as_of})"""))
+      CAST(date_diff('day', opened_on, {{as_of}}) AS INTEGER) AS days_open, {{as_of}} AS as_of_date
+    FROM cases WHERE opened_on <= {{as_of}})"""))
 def _(spark, sf):
     return summaries.case_context(clean(spark, sf, "complaints"), clean(spark, sf, "call_center_interactions"), policy_of(spark))
 
@@ -871,14 +888,18 @@ def _(spark, sf):
     SELECT table_name, {big('n')} AS n_rows, '2026-06-30' AS as_of_date, '0.4' AS policy_version FROM (
       SELECT 'customer_credit_profile' AS table_name, count(*) AS n FROM silver_customers
       UNION ALL SELECT 'customer_credit_offer_options', count(*) * 12 FROM silver_customers
-      UNION ALL SELECT 'ref_term_grid', count(*) FROM ref_term_grid)"""))
+      UNION ALL SELECT 'ref_product_catalog', count(*) FROM ref_product_catalog
+      UNION ALL SELECT 'ref_term_grid', count(*) FROM ref_term_grid
+      UNION ALL SELECT 'ref_policy_params', count(*) FROM ref_policy_params
+      UNION ALL SELECT 'ref_policy_bands', count(*) FROM ref_policy_bands
+      UNION ALL SELECT 'ref_segment_adjustments', count(*) FROM ref_segment_adjustments)"""))
 def _(spark, sf):
     policy, path = policy_of(spark), scratch_path(spark, "export")
     profile = checkpointed(profile_of(spark, sf))
     publish(spark, {
         "customer_credit_profile": profile,
         "customer_credit_offer_options": offer_options(profile, policy),
-        "ref_term_grid": policy.tables["ref_term_grid"],
+        **{name: policy.tables[name] for name in POLICY_TABLES},
     }, path, {"run_id": "manual", "as_of_date": str(policy.as_of_date), "policy_version": policy.policy_version})
     return read_manifest(spark, path).drop("exported_at", "run_id", "folder")
 
