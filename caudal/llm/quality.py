@@ -30,6 +30,7 @@ kept; null ids and repeated rows are rows like others; an empty table gives an e
 from __future__ import annotations
 
 import math
+import string
 import struct
 from collections.abc import Sequence
 
@@ -48,7 +49,7 @@ SHRINKAGE = 2.0
 LEAST_WEIGHT = 0.5
 PIECES = 20_000
 FOLDS = 4
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
 COUNTED_DOCUMENTS = 250
 ENTRY = np.dtype([
     ("hash", "u8"), ("length", "u2"), ("letters", "u2"), ("upper", "u1"), ("symbols", "u1"),
@@ -60,7 +61,8 @@ PACKED = struct.Struct("<QHHBBBBBBff")
 
 
 def plain(word: str) -> str:
-    return "".join(filter(str.isalpha, word)).lower()
+    inner = word.strip(string.punctuation)  # none of these is a letter
+    return inner.lower() if inner.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
 def digest(piece: str) -> int:
@@ -71,7 +73,11 @@ def pieces(letters: str) -> list[int]:
     """Digests of a word and of its beginnings."""
     if not letters:
         return []
-    return [digest(letters), *(digest(letters[:k] + "-") for k in STEMS if len(letters) >= k)]
+    hashed, size = xxhash.xxh3_64_intdigest, len(letters)
+    if letters.isascii():
+        data = letters.encode()
+        return [hashed(data) >> 1, *[hashed(data[:k] + b"-") >> 1 for k in STEMS if size >= k]]
+    return [digest(letters), *[digest(letters[:k] + "-") for k in STEMS if size >= k]]
 
 
 class Pieces(dict):
@@ -91,31 +97,47 @@ class Pieces(dict):
 
 
 class Measures(dict):
-    """Measures of texts; a bounded table has what is known of each word."""
+    """Measures of texts; a bounded table has what is known of each word.
+
+    When it is full, it becomes the older half, from which words still in use come back.
+    """
 
     def __init__(self, telling: Sequence[dict[int, float]]):
         super().__init__()
-        self.telling = telling
+        self.weights = {
+            piece: tuple(own.get(piece, 0.0) for own in telling) for piece in set().union(*telling)
+        }
+        self.silent = (0.0,) * len(telling)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        letters = plain(word)
-        tail = word[-2:]
-        made = PACKED.pack(
-            xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")), min(len(word), 60_000),
-            min(len(letters), 60_000), len(letters) > 1 and word.upper() == word,
-            len(word) > 2 and len(set(tail)) == 1 and not tail[0].isalnum() and tail[0] != "!", word == "|",
-            tail == "!!", any(map(str.isdigit, word)), 0, *self.says(letters),
-        )
+        made = self.older.get(word) or self.measured(word)
         if len(word) < 64:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= CACHED_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = made
         return made
 
-    def says(self, letters: str) -> list[float]:
+    def measured(self, word: str) -> bytes:
+        data = word.encode("utf-8", "surrogatepass")
+        if word.isalpha():
+            letters, marks = word.lower(), (False, False, False, False)
+        else:
+            letters, tail = plain(word), word[-2:]
+            marks = (
+                len(word) > 2 and len(set(tail)) == 1 and not tail[0].isalnum() and tail[0] != "!", word == "|",
+                tail == "!!", any(map(str.isdigit, word)),
+            )
+        return PACKED.pack(
+            xxhash.xxh3_64_intdigest(data), min(len(word), 60_000), min(len(letters), 60_000),
+            len(letters) > 1 and word.upper() == word, *marks, 0, *self.says(letters),
+        )
+
+    def says(self, letters: str) -> tuple[float, ...]:
         """The weight of the strongest piece, for each cause."""
-        own = pieces(letters) if any(self.telling) else []
-        return [max((weights.get(p, 0.0) for p in own), default=0.0) for weights in self.telling]
+        found = [w for w in map(self.weights.get, pieces(letters)) if w] if self.weights else []
+        return tuple(map(max, zip(self.silent, *found))) if found else self.silent
 
     def of(self, text: str | None) -> list[float]:
         words = (text or "").split()
