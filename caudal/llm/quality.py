@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caudal.llm.common import broadcast_if_small, read_documents, row_map, unused
-from caudal.session import checkpointed
+from caudal.session import checkpointed, scratch_path
 
 FIT_ROWS = 8000
 STEMS = (4, 6, 8)
@@ -379,15 +379,16 @@ def assess(
 
 
 def keep(docs: DataFrame, evidence: Evidence | None, host: Column, path: Column, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns. Texts are measured twice rather than shuffled."""
-    own = docs.select(host.alias("_host"), path.alias("_path"), evidence_column(docs, evidence, text).alias("_logit"))
-    rate, sites = site_rates(own)
-    names = [unused(docs.columns, n) for n in ("_host", "_path", "_logit", "_h", "_q", "_rate")]
-    h, q, logit, site_h, site_q, site_rate = names
+    """The rows of ``docs`` that are kept, all columns. Texts are measured once: rows and their evidence are stored first."""
+    h, q, logit, site_h, site_q, site_rate = (unused(docs.columns, n) for n in ("_host", "_path", "_logit", "_h", "_q", "_rate"))
+    stored = scratch_path(docs.sparkSession, "measured")
+    docs.withColumns({h: host, q: path, logit: evidence_column(docs, evidence, text)}).write.parquet(stored)
+    measured = docs.sparkSession.read.parquet(stored)
+    # reads three short columns
+    rate, sites = site_rates(measured.select(F.col(h).alias("_host"), F.col(q).alias("_path"), F.col(logit).alias("_logit")))
     sites = broadcast_if_small(
         sites.select(F.col("_host").alias(site_h), F.col("_path").alias(site_q), F.col("_rate").alias(site_rate)), 200
     )
-    measured = docs.withColumns({h: host, q: path, logit: evidence_column(docs, evidence, text)})
     same = F.col(h).eqNullSafe(F.col(site_h)) & F.col(q).eqNullSafe(F.col(site_q))
     prior = F.coalesce(F.col(site_rate), F.lit(rate))
     posterior = _posterior(F.col(logit), prior, evidence.base if evidence else rate)
