@@ -260,7 +260,7 @@ class Header:
     end: int
 
 
-def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def open_path(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     if path.startswith("file:"):
         path = "/" + unquote(path[5:]).lstrip("/")
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), os.path.abspath(path))
@@ -361,7 +361,7 @@ class AvroReader(DataSourceReader):
         def rescued(place: int, why: str) -> pa.RecordBatch:
             return batch([{RESCUED: json.dumps({"_error": why, "_offset": place, "_file_path": partition.path})}])
 
-        system, path = _open(partition.path)
+        system, path = open_path(partition.path)
         with system.open_input_file(path) as stream:
             try:
                 header = read_header(stream)
@@ -378,7 +378,7 @@ class AvroReader(DataSourceReader):
 
 def list_files(path: str) -> list[tuple[str, int]]:
     """(path, size) of a file or of all Avro files below a folder, hidden ones left out."""
-    system, bare = _open(path)
+    system, bare = open_path(path)
     info = system.get_file_info(bare)
     if info.type == pyarrow.fs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -408,7 +408,7 @@ class AvroWriter(DataSourceWriter):
 
     def write(self, iterator) -> Written:
         row, kind = encoder(self.schema), avro_type(self.schema)[1]
-        marker, system, folder = uuid.uuid4().bytes, *_open(self.path)
+        marker, system, folder = uuid.uuid4().bytes, *open_path(self.path)
         system.create_dir(folder, recursive=True)
         name = f"{folder}/_{uuid.uuid4().hex}.avro"
         codec, count, data = self.codec, 0, io.BytesIO()
@@ -435,20 +435,20 @@ class AvroWriter(DataSourceWriter):
         return Written(name)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, folder = _open(self.path)
+        system, folder = open_path(self.path)
         for path in self.before:
-            system.delete_file(_open(path)[1])
+            system.delete_file(open_path(path)[1])
         for message in filter(None, messages):
             system.move(message.path, f"{folder}/part-{os.path.basename(message.path)[1:]}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, _ = _open(self.path)
+        system, _ = open_path(self.path)
         for message in filter(None, messages):
             system.delete_file(message.path)
 
 
 def _exists(path: str) -> bool:
-    system, bare = _open(path)
+    system, bare = open_path(path)
     return system.get_file_info(bare).type != pyarrow.fs.FileType.NotFound
 
 
@@ -460,7 +460,7 @@ class AvroSource(DataSource):
     def schema(self) -> StructType:
         """The columns of the first file that has a header, and the rescue column."""
         for path, _ in list_files(self.options["path"]):
-            system, bare = _open(path)
+            system, bare = open_path(path)
             with system.open_input_file(bare) as stream:
                 try:
                     found = spark_type(read_header(stream).schema)

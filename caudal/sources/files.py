@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from caudal.operators.small import join_small
 from caudal.session import checkpointed
 from caudal.sources.avro import register_avro
+from caudal.sources.excel import register_excel
 
-#: avro is read by sources.avro, in batches only
-FORMATS = ("csv", "json", "parquet", "text", "xml", "orc", "binaryFile", "avro")
+#: avro and xlsx are read by sources.avro and sources.excel, in batches only
+FORMATS = ("csv", "json", "parquet", "text", "xml", "orc", "binaryFile", "avro", "xlsx")
 RESCUED = "_rescued_data"
 
 
-STREAMED = tuple(f for f in FORMATS if f != "avro")
+STREAMED = tuple(f for f in FORMATS if f not in ("avro", "xlsx"))
 
 
 def check_format(fmt: str, formats: Sequence[str] = FORMATS) -> str:
@@ -27,7 +28,8 @@ def check_format(fmt: str, formats: Sequence[str] = FORMATS) -> str:
 
 def read_files(spark: SparkSession, path, fmt: str, schema: str | None = None, **options) -> DataFrame:
     """Batch read of a folder; self-describing formats and XML may leave out ``schema``."""
-    name = register_avro(spark) if check_format(fmt) == "avro" else fmt
+    own = {"avro": register_avro, "xlsx": register_excel}.get(check_format(fmt))
+    name = own(spark) if own else fmt
     reader = spark.read.format(name).options(**options)
     return (reader.schema(schema) if schema else reader).load(path)
 
