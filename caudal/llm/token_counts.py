@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import functools
 import json
+import operator
 import re
 from array import array
+from itertools import accumulate
 
 import numpy as np
 import regex
@@ -33,9 +35,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
 CACHED_CHUNKS = 600_000
+STOPS = ",.;:!?"
+CACHED_HEADS = 50_000
+HEAD_BYTES = 7
 NEVER = 1 << 30
 WHITE = frozenset(chr(i) for i in range(0x3001) if regex.match(r"\s", chr(i)))
-UNEVEN_BLANKS = re.compile(r" \s|\s |\A | \Z")
+AFTER_BLANK, BEFORE_BLANK = re.compile(r" \s"), re.compile(r"[^\S ] ")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,7 +74,8 @@ class PrefixCounter:
         self.special_pattern = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.split = regex.compile(PATTERN).findall
         self.meet: dict[tuple[bytes, bytes], bool] = {}
-        self.inner = _Chunks(lambda chunk: self._slow(" " + chunk), 2 * CACHED_CHUNKS)
+        self.heads: dict[bytes, tuple[list[int], list[bytes]]] = {}
+        self.inner = _Chunks(self._inner, 2 * CACHED_CHUNKS)
         self.first = _Chunks(self._slow)
         self.pieces = _Chunks(self._count_piece, CACHED_CHUNKS // 4)
 
@@ -127,9 +133,11 @@ class PrefixCounter:
 
     def word(self, data: bytes) -> list[int]:
         """Token counts of all byte prefixes of one word, the empty prefix first."""
-        counts, last = [0], [b""]
+        # words that begin alike share the counts of that beginning
+        head = self.heads.get(data[:HEAD_BYTES]) if len(data) > HEAD_BYTES else None
+        counts, last = ([*head[0]], [*head[1]]) if head else ([0], [b""])
         vocabulary, meet = self.vocabulary, self.meet
-        for end in range(1, len(data) + 1):
+        for end in range(len(counts), len(data) + 1):
             for start in range(max(0, end - self.longest), end):
                 token = data[start:end]
                 if token in vocabulary:
@@ -139,6 +147,10 @@ class PrefixCounter:
                         counts.append(counts[start] + 1)
                         last.append(token)
                         break
+        if head is None and len(data) > HEAD_BYTES:
+            if len(self.heads) >= CACHED_HEADS:
+                self.heads.clear()
+            self.heads[data[:HEAD_BYTES]] = (counts[: HEAD_BYTES + 1], last[: HEAD_BYTES + 1])
         return counts
 
     def _piece(self, piece: str) -> list[int]:
@@ -152,8 +164,23 @@ class PrefixCounter:
         counts = self.word(data)
         if len(data) == len(piece):
             return counts[1:]
-        ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece])
-        return [counts[e] for e in ends]
+        # a character has one byte more from each of these code points on
+        sizes = (1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in piece)
+        return [counts[e] for e in accumulate(sizes)]
+
+    def _inner(self, chunk: str) -> bytes:
+        """Changes of the count along a blank and a chunk after it.
+
+        ASCII letters are one word with the blank, and stops after them are another.
+        """
+        letters = chunk.rstrip(STOPS)
+        if not (letters.isascii() and letters.isalpha()):
+            return self._slow(" " + chunk)
+        counts = self._piece(" " + letters)
+        if len(letters) < len(chunk):
+            total = counts[-1]
+            counts = [*counts, *[total + n for n in self._piece(chunk[len(letters) :])]]
+        return array("h", map(operator.sub, counts, [0, *counts])).tobytes()
 
     def _slow(self, text: str) -> bytes:
         """Changes of the count, character by character, of a text without special tokens."""
@@ -177,7 +204,7 @@ class PrefixCounter:
         return changes.tobytes()
 
     def _plain(self, text: str) -> bytes:
-        if UNEVEN_BLANKS.search(text):
+        if text[:1] == " " or text[-1:] == " " or AFTER_BLANK.search(text) or BEFORE_BLANK.search(text):
             return self._slow(text)
         first, *rest = text.split(" ")
         return self.first[first] + b"".join(map(self.inner.__getitem__, rest))
