@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-_STRIDE = 64
 _SAMPLE = 64
+_HALVINGS = 24
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -45,27 +45,38 @@ def cuts(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROW
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set(order)).alias("_sorted"), F.max("_pieces").alias("_pieces"))
     )
-    at = lambda i: F.ceil(i * F.size("_sorted") / F.col("_pieces")).cast("int")
+    # as long: the product of two counts is soon beyond an int
+    at = lambda i: F.ceil(i.cast("long") * F.size("_sorted") / F.col("_pieces")).cast("int")
     picked = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: F.element_at("_sorted", at(i)))
     return (
         sampled.filter("_pieces > 1 AND size(_sorted) > 0")
         .select(*keys, F.array_distinct(picked).alias("_cuts"))
-        # every 64th cut, so that a row compares with two short lists
-        .withColumn("_coarse", F.filter("_cuts", lambda c, i: i % _STRIDE == _STRIDE - 1))
     )
 
 
-def _rank(value: Column) -> Column:
-    """Number of cuts below ``value``."""
-    above = F.size(F.filter("_coarse", lambda c: c < value)) * _STRIDE
-    fine = F.size(F.filter(F.slice("_cuts", above + 1, F.lit(_STRIDE)), lambda c: c < value))
-    return F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(above + fine)
+def _below(sorted_values: str, value: Column) -> Column:
+    """Number of ``sorted_values`` below ``value``, by halving; ``_steps`` are the powers of two up to their number."""
+    return F.aggregate("_steps", F.lit(0), lambda low, step: F.when(
+        (low + step <= F.size(sorted_values)) & (F.get(sorted_values, low + step - 1) < value), low + step).otherwise(low))
 
 
 def with_ranges(df: DataFrame, keys: Sequence[str], order: str, cut_points: DataFrame) -> DataFrame:
-    """Add ``_range`` (0 for keys that need no cut) and ``_hot``."""
-    ranged = df.join(F.broadcast(cut_points), list(keys), "left").withColumns({
-        "_range": _rank(F.col(order)),
-        "_hot": F.col("_cuts").isNotNull(),
-    })
-    return ranged.drop("_cuts", "_coarse")
+    """Add ``_range`` (0 for keys that need no cut) and ``_hot``.
+
+    A row meets every ``_width``-th cut of its key, then the cuts between two of those, so that of n cuts it carries
+    about two times the root of n.
+    """
+    keys = list(keys)
+    wide = cut_points.withColumn("_width", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
+    powers = F.filter(F.lit([1 << k for k in reversed(range(_HALVINGS))]), lambda step: step <= F.col("_width"))
+    coarse = wide.select(*keys, "_width", powers.alias("_steps"), F.filter(
+        "_cuts", lambda c, i: i % F.col("_width") == F.col("_width") - 1).alias("_coarse"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / F.col("_width")).cast("int"))
+    fine = wide.select(*keys, F.explode(chunks).alias("_chunk"), "_cuts", "_width").select(
+        *keys, "_chunk", F.slice("_cuts", F.col("_chunk") * F.col("_width") + 1, F.col("_width")).alias("_fine"))
+    placed = df.join(F.broadcast(coarse), keys, "left").withColumns({
+        "_hot": F.col("_coarse").isNotNull(), "_chunk": _below("_coarse", F.col(order))}).drop("_coarse")
+    ranged = placed.join(F.broadcast(fine), [*keys, "_chunk"], "left").withColumn("_range", F.when(
+        F.col("_hot"), F.col("_chunk") * F.col("_width") + F.coalesce(F.when(F.col("_fine").isNotNull(), _below("_fine", F.col(order))), F.lit(0))
+    ).otherwise(F.lit(0)))
+    return ranged.select(*df.columns, "_range", "_hot")

@@ -127,6 +127,16 @@ def test_ranges_of_any_order(spark, kind):
     assert len(bounds) >= 8 and all(x.b < y.a for x, y in zip(bounds, bounds[1:])) and max(r.n for r in bounds) < 600
 
 
+def test_many_cuts_of_a_large_key(spark):
+    """The product of a cut's number and the size of the sample is beyond an int."""
+    values = spark.range(140_000, numPartitions=4).select(F.lit(1).alias("k"), F.col("id").alias("v"))
+    points = cuts(values, ["k"], "v", hot_rows=4)
+    assert points.select(F.size("_cuts")).first()[0] > 30_000
+    found = with_ranges(values, ["k"], "v", points).groupBy("_range").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("_range").collect()
+    edges = points.first()["_cuts"]
+    assert [r.b for r in found[:-1]] == edges and all(x.b + 1 == y.a for x, y in zip(found, found[1:]))
+
+
 @pytest.mark.parametrize("hot_rows", [10, 1_000_000])
 def test_exact_quantiles(spark, hot_rows):
     rng = np.random.default_rng(5)
