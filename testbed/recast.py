@@ -15,6 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 ORDER_SHIFT = 9086  # moves order dates to 2019-11 ... 2026-06
 EVENT_SHIFT = 880   # moves event dates to 2026-06
+SPREAD_ROWS = 1_000_000
 
 _TWICE = "(SELECT 1 AS d UNION ALL SELECT 2 AS d) twice"
 _LOADED = "CAST('2026-07-0' || CAST(d AS STRING) || ' 00:00:00' AS TIMESTAMP) AS _bronze_ingested_at"
@@ -264,10 +265,13 @@ def ctes(dialect: str, *names: str) -> list[str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; a table of fewer files than cores is spread, since one file here is one task."""
+    """A driver table; a small one of fewer files than cores is spread, since one small file is one task.
+
+    Large files are read in splits; to spread them would shuffle the whole table, into no more parts than there are cores.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ("lineitem", "orders", "events") and len(df.inputFiles()) < cores:
+    if name in ("lineitem", "orders", "events") and len(df.inputFiles()) < cores and df.count() <= SPREAD_ROWS:
         return df.repartition(cores)
     return df
 

@@ -126,3 +126,12 @@ def test_sketches_merge_over_days_within_the_stated_error(spark):
             assert abs((own <= q).mean() - share) <= sketches.rank_error() + 1 / len(own)
     half = merged.select(sketches.rank_of(F.lit(0.5**6)).alias("r")).collect()
     assert all(abs(r["r"] - 0.5) < 0.02 for r in half)
+
+
+def test_large_tables_are_not_shuffled_to_be_read(spark, tmp_path, monkeypatch):
+    from testbed import recast
+    spark.range(1000).withColumnRenamed("id", "l_orderkey").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = lambda: recast._table(spark, str(tmp_path), "lineitem")._jdf.queryExecution().toString()
+    assert "Exchange" in plan()
+    monkeypatch.setattr(recast, "SPREAD_ROWS", 999)
+    assert "Exchange" not in plan()
