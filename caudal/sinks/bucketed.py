@@ -24,7 +24,11 @@ def save_bucketed(
     """Store ``df`` as catalog table ``table``, one sorted file for each bucket, and read it back.
 
     ``path`` is where its files go, by default a folder of the catalog's warehouse.
+    The rows are worked out once, into the shared folder; keys are counted and buckets dealt from there.
     """
+    whole = scratch_path(df.sparkSession, "whole")
+    df.write.parquet(whole)
+    df = df.sparkSession.read.schema(df.schema).parquet(whole)
     worst = hot_keys(df, [key], hot_rows).first()
     if worst is not None:
         raise FrequentKey(f"{table}: {key} {worst[key]!r} has more than {hot_rows} rows")

@@ -43,3 +43,16 @@ def test_a_frequent_key_is_refused_or_left_alone(spark, tmp_path):
     kept = bucketed_inputs(spark, {"a": df, "b": df.filter("k > 0"), "c": spark.range(3)}, "k", 2, f"u{uuid.uuid4().hex}", hot_rows=99)
     assert kept["a"] is df and "Bucketed: true" in kept["b"].groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert kept["b"].count() == df.filter("k > 0").count() and kept["c"].count() == 3
+
+
+def test_rows_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).withColumnRenamed("id", "c").mapInArrow(same, "c bigint")
+    assert save_bucketed(df, "once", "c", 2).count() == 1000 and seen.value == 1000
+    spark.sql("DROP TABLE once")
