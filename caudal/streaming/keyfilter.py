@@ -55,10 +55,15 @@ def key_filters(rows: DataFrame, keys: Sequence[str], file: str) -> DataFrame:
 
 
 def may_hold(filters: DataFrame, wanted: DataFrame, keys: Sequence[str], file: str, name: Sequence[str]) -> DataFrame:
-    """The ``name`` columns of the filters that may hold one of the ``wanted`` keys of the same ``file``."""
-    keys = list(keys)
-    key = F.struct(*keys)
-    tests = [_word(keys) == F.col("_word"), key >= F.col("_low"), key <= F.col("_high")]
-    tests += [_bit("_bits", p) for p in _positions(keys)]
+    """The ``name`` columns of the filters that may hold one of the ``wanted`` keys of the same ``file``.
+
+    A key meets the one bitmap of each filter that its hash names: keys and bitmaps join by it, an equality.
+    """
+    keys, positions = list(keys), [f"_at{i}" for i in range(PROBES)]
+    key, bitmap = F.struct(*keys), [file, *name, "_words", "_word"]
+    logs = filters.select(file, *[c for c in name if c != file], "_words").distinct()  # a row for each filter
+    asked = wanted.select(file, *keys, *[p.alias(c) for p, c in zip(_positions(keys), positions)])
+    asked = asked.join(F.broadcast(logs) if fits_broadcast(logs) else logs, file).withColumn("_word", _word(keys))
+    tests = [key >= F.col("_low"), key <= F.col("_high")] + [_bit("_bits", F.col(c)) for c in positions]
     side = F.broadcast(filters) if fits_broadcast(filters) else filters
-    return wanted.select(file, *keys).join(side, file).filter(reduce(and_, tests)).select(*name).distinct()
+    return asked.join(side, list(dict.fromkeys(bitmap))).filter(reduce(and_, tests)).select(*name).distinct()

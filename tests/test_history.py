@@ -174,6 +174,16 @@ def files_of(folder):
     return {p.parent.parent.name + "/" + p.parent.name for p in folder.rglob("*.parquet")}
 
 
+def test_a_key_is_tested_against_one_bitmap_of_each_filter(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("k"), F.lit(0).alias("bucket"))
+    filters = key_filters(rows, ["k"], "bucket").withColumn("batch", F.lit(1))
+    assert filters.count() > 10  # bitmaps of one filter
+    found = may_hold(filters, rows, ["k"], "bucket", ["batch", "bucket"])
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]  # those that make the filters included
+    assert any(line.count("_word#") == 2 for line in joins)
+    assert found.count() == 1
+
+
 def test_a_merge_reads_only_logs_that_may_hold_its_keys(spark, tmp_path, monkeypatch):
     """Twenty deliveries with late rows: the history of one batch, and less than half of the earlier logs read."""
     target, parts = str(tmp_path / "t"), spread(400, 20)
