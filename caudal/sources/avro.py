@@ -37,6 +37,9 @@ NAME, RESCUED = "avro_blocks", "_rescued_data"
 MAGIC, MARKER = b"Obj\x01", 16
 SPLIT_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 16
+SEARCH_BYTES = 1 << 17
+DOUBLE = struct.Struct("<d").unpack_from
+ONE_BYTE = [bytes([n]) for n in range(0x80)]
 EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
 DAY = datetime.date(1970, 1, 1)
 # fixed values: Avro's simple types
@@ -119,15 +122,36 @@ class Cursor:
 
     def number(self) -> int:
         """A variable-length number, signs interleaved."""
-        shift = found = 0
-        while True:
-            byte = self.take(1)[0]
-            found |= (byte & 0x7F) << shift
-            if byte < 0x80:
-                return (found >> 1) ^ -(found & 1)
-            shift += 7
-            if shift > 63:
-                raise ValueError("a number is too long")
+        data, at = self.data, self.at
+        try:
+            byte = data[at]
+            found, shift = byte & 0x7F, 7
+            while byte >= 0x80:
+                if shift > 63:
+                    raise ValueError("a number is too long")
+                at += 1
+                byte = data[at]
+                found |= (byte & 0x7F) << shift
+                shift += 7
+        except IndexError:
+            raise ValueError("the block ends inside a value") from None
+        self.at = at + 1
+        return (found >> 1) ^ -(found & 1)
+
+    def double(self) -> float:
+        at = self.at
+        if at + 8 > len(self.data):
+            raise ValueError("the block ends inside a value")
+        self.at = at + 8
+        return DOUBLE(self.data, at)[0]
+
+    def text(self) -> str:
+        n = self.number()
+        start, end = self.at, self.at + n
+        if n < 0 or end > len(self.data):
+            raise ValueError("the block ends inside a value")
+        self.at = end
+        return self.data[start:end].decode()
 
 
 Decoder = Callable[[Cursor], object]
@@ -160,7 +184,21 @@ def decoder(schema) -> Decoder:
             part = parts[cursor.number()]
             value = None if part is None else part(cursor)
             return json.dumps(value, default=str, ensure_ascii=False) if several and part is not None else value
-        return union
+        if len(parts) != 2 or several:
+            return union
+        own = parts[0] or parts[1]
+        null, some = (2, 0) if parts[0] else (0, 2)  # the branch's number as it is written
+
+        def nullable(cursor: Cursor):
+            byte = cursor.data[cursor.at] if cursor.at < len(cursor.data) else -1
+            if byte == some and own:
+                cursor.at += 1
+                return own(cursor)
+            if byte == null:
+                cursor.at += 1
+                return None
+            return union(cursor)
+        return nullable
     kind, logical = (schema, None) if isinstance(schema, str) else (schema["type"], schema.get("logicalType"))
     if isinstance(kind, (dict, list)):
         return decoder(kind)
@@ -189,13 +227,15 @@ def decoder(schema) -> Decoder:
         return lambda c: _moment(c.number() * factor, not logical.startswith("local"))
     return {
         "boolean": lambda c: c.take(1) == b"\x01", "int": Cursor.number, "long": Cursor.number,
-        "float": lambda c: struct.unpack("<f", c.take(4))[0], "double": lambda c: struct.unpack("<d", c.take(8))[0],
-        "string": lambda c: c.take(c.number()).decode(),
+        "float": lambda c: struct.unpack("<f", c.take(4))[0], "double": Cursor.double,
+        "string": Cursor.text,
     }[kind]
 
 
 def _number(value: int) -> bytes:
     value = (value << 1) ^ (value >> 63)
+    if 0 <= value < 0x80:
+        return ONE_BYTE[value]
     out = bytearray()
     while value > 0x7F:
         out.append(value & 0x7F | 0x80)
@@ -297,7 +337,7 @@ def _next_marker(stream, marker: bytes, start: int, end: int) -> int | None:
     stream.seek(start)
     kept, at = b"", start
     while at - len(kept) < end:
-        part = stream.read(1 << 20)
+        part = stream.read(SEARCH_BYTES)
         if not part:
             return None
         window = kept + part

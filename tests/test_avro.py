@@ -101,3 +101,30 @@ def test_a_marker_that_spans_two_reads_is_found():
     assert avro._next_marker(stream, marker, 0, 1 << 21) == (1 << 20) - 5
     assert avro._next_marker(stream, marker, 0, 100) is None
     assert avro._next_marker(stream, marker, (1 << 20) - 4, 1 << 21) is None
+
+
+def test_a_search_reads_little_beyond_its_marker():
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            found = super().read(n)
+            Counting.taken += len(found)
+            return found
+
+    marker = bytes(range(16))
+    assert avro._next_marker(Counting(b"x" * 5000 + marker + b"y" * (1 << 21)), marker, 0, 200_000) == 5000
+    assert Counting.taken < 200_000
+
+
+def test_nullable_values_and_ends_of_blocks():
+    read = avro.decoder(["null", "double"])
+    for schema in (["null", "long"], ["long", "null"]):
+        first = 2 * schema.index("long")
+        cursor = avro.Cursor(bytes([first, 0xAC, 0x02, 2 - first]))
+        assert (avro.decoder(schema)(cursor), avro.decoder(schema)(cursor)) == (150, None)
+    for cut in (b"", b"\x02", b"\x02abcdefg"):
+        with pytest.raises(ValueError, match="ends inside"):
+            read(avro.Cursor(cut))
+    with pytest.raises(ValueError, match="too long"):
+        avro.Cursor(b"\x80" * 12).number()
