@@ -119,9 +119,11 @@ def read_strings(
         .option("header", True).option("sep", sep).option("escape", '"')
         .option("multiLine", multiline).option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(path)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
+        # below the join, so that a filter on the result, which Spark moves down to the join, does not repeat the array for each column
+        .select(F.array(*[f"_c{i}" for i in range(width)]).alias("_values"), "_corrupt_record",
+                F.col("_metadata.file_path").alias("_path"))
     )
-    raw = join_small(raw, layouts, ["_path"]).withColumn("_values", F.array(*[f"_c{i}" for i in range(width)]))
+    raw = join_small(raw, layouts, ["_path"])
     unknown = F.map_from_entries(F.transform(
         "_extra", lambda e: F.struct(e["name"], F.try_element_at("_values", e["at"]))
     ))
@@ -131,7 +133,9 @@ def read_strings(
         F.when(malformed, F.create_map(F.lit("_malformed"), F.col("_corrupt_record")))
         .otherwise(F.create_map().cast("map<string,string>")),
     )
-    return raw.withColumn("_rescued", rescued).select(
+    # most rows have nothing to rescue and need no map
+    some = (F.size("_extra") > 0) | F.col("_corrupt_record").isNotNull()
+    return raw.withColumn("_rescued", F.when(some, rescued)).select(
         *[F.try_element_at("_values", F.element_at("_where", i + 1)).alias(c) for i, c in enumerate(columns)],
         F.when(
             F.size("_rescued") > 0,

@@ -36,6 +36,14 @@ def test_csv_by_name_with_rescued_columns_and_malformed_rows(spark, tmp_path):
     assert len(found) == 7 and all(r["_source_file_path"].startswith("file:") for r in found.values())
 
 
+def test_dropping_empty_rows_does_not_repeat_the_values(spark, tmp_path):
+    """Spark moves the filter below the projection; the array of all fields must not be made there for each column."""
+    path = write(tmp_path / "in", "a.csv", "id,name,amount\n1,x,5\n,,\n,y,\n")
+    kept = to_bronze(read_strings(spark, path, ["id", "name", "amount"]))
+    assert {(r["id"], r["name"]) for r in kept.collect()} == {("1", "x"), (None, "y")}
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("array(_c0") == 1
+
+
 def test_csv_of_one_layout(spark, tmp_path):
     path = write(tmp_path / "in", "a.csv", "extra,id\nq,1\n,2\n")
     found = by_id(read_strings(spark, path, ["id", "gone"], multiline=False))
