@@ -15,7 +15,9 @@ def not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def latest_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+def latest_by_key(
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], wanted: Sequence[str] | None = None
+) -> DataFrame:
     """The row with the greatest ``order_by`` values per key, rows with a NULL key left out.
 
     Ties are broken by the greatest remaining values, column by column, so the
@@ -24,8 +26,14 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -
     frequent key sends one row per task, as an aggregate would; without
     duplicates this is a fifth faster than the maximum of the row as a struct
     (3.9 against 4.8 s for 600,000 wide rows, 3.6 against 4.4 s with a quarter repeated).
+
+    ``wanted`` are the columns that will be read. Ties are broken column by column, so those after the last
+    wanted one decide between rows that are alike in all before: they are left out, and no value changes.
     """
     rest = [c for c in df.columns if c not in keys and c not in order_by]
+    if wanted is not None:
+        rest = rest[:max((i for i, c in enumerate(rest, 1) if c in wanted), default=0)]
+        df = df.select(*[c for c in df.columns if c in (*keys, *order_by, *rest)])
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in [*order_by, *rest]])
     ranked = not_null(df, keys).withColumn("_rank_of_key", F.row_number().over(newest))
     return ranked.filter("_rank_of_key = 1").drop("_rank_of_key")

@@ -27,6 +27,18 @@ CONTEXT_COLUMNS = [
     "policy_version",
 ]
 
+#: the columns of the clean tables that a profile reads
+PROFILE_READS: dict[str, tuple[str, ...]] = {
+    "customers": ("customer_id", "country", "segment", "customer_status", "credit_score", "estimated_monthly_income",
+                  "registration_date", "date_of_birth", "accepts_marketing"),
+    "products": ("customer_id", "product_type", "product_status", "currency", "current_balance", "credit_limit",
+                 "interest_rate", "days_past_due"),
+    "transactions": ("customer_id", "process_date", "transaction_type", "transaction_status", "amount", "currency",
+                     "amount_usd", "is_fraud"),
+    "complaints": ("customer_id", "status", "priority"),
+    "daily_exchange_rates": ("source_currency", "target_currency", "date", "exchange_rate"),
+}
+
 
 def local_currency(country: Column) -> Column:
     currency = F.lit(None).cast("string")

@@ -32,9 +32,9 @@ def typed_rows(
     return typed if keyless else not_null(typed, spec.key)
 
 
-def silver(bronze: DataFrame, entity: str) -> DataFrame:
-    """The current row per business key."""
+def silver(bronze: DataFrame, entity: str, wanted: Sequence[str] | None = None) -> DataFrame:
+    """The current row per business key; ``wanted`` as in ``latest_by_key``."""
     spec = ENTITIES[entity]
-    return latest_by_key(typed_rows(bronze, entity), spec.key, spec.latest_by).withColumn(
+    return latest_by_key(typed_rows(bronze, entity), spec.key, spec.latest_by, wanted).withColumn(
         "_silver_processed_at", F.current_timestamp()
     )

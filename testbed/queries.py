@@ -22,7 +22,7 @@ from caudal.plans.medallion import POLICY_TABLES
 from caudal.plans.options import featured_options, offer_options, option_grid
 from caudal.plans.policy import Policy, policy_tables, resolve_policy
 from caudal.plans.profile import (
-    agent_context, complaint_facts, credit_products, credit_profile, existing_installments,
+    PROFILE_READS, agent_context, complaint_facts, credit_products, credit_profile, existing_installments,
     product_facts, transaction_facts, with_term_limits,
 )
 from caudal.plans.silver import silver, typed_rows
@@ -75,12 +75,17 @@ def gold_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {e: clean(spark, sf, e) for e in GOLD_INPUTS}
 
 
+def profile_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The clean tables without columns that neither a profile reads nor a choice between rows needs."""
+    return {e: silver(bronze(spark, sf, e), e, PROFILE_READS[e]) for e in GOLD_INPUTS}
+
+
 def policy_of(spark: SparkSession, as_of: str = "") -> Policy:
     return resolve_policy(policy_tables(spark), as_of)
 
 
 def profile_of(spark: SparkSession, sf: str, as_of: str = "") -> DataFrame:
-    return credit_profile(gold_inputs(spark, sf), policy_of(spark, as_of))
+    return credit_profile(profile_inputs(spark, sf), policy_of(spark, as_of))
 
 
 def priced_products(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,6 +41,16 @@ def test_latest_reduces_before_the_shuffle(skewed):
     assert "WindowGroupLimit" in above and "WindowGroupLimit" in below
 
 
+def test_latest_leaves_out_what_can_decide_nothing(spark, rows):
+    random.seed(4)
+    data = [tuple(random.choice([None, 1, 2]) for _ in range(6)) for _ in range(600)]
+    df = spark.createDataFrame(data, "k int, a int, t int, b int, c int, d int")
+    whole, narrow = latest_by_key(df, ["k"], ["t"]), latest_by_key(df, ["k"], ["t"], wanted=["k", "b"])
+    assert narrow.columns == ["k", "a", "t", "b"]
+    assert rows(narrow) == rows(whole.select(*narrow.columns))
+    assert latest_by_key(df, ["k"], ["t"], wanted=["k"]).columns == ["k", "t"]
+
+
 def test_content_duplicates_skip_incomplete_keys(spark, rows):
     df = spark.createDataFrame([(1, 1), (1, 1), (1, None), (1, None), (2, 1)], "a int, b int")
     assert rows(content_duplicates(df, ["a", "b"]), "a", "b", "n") == [(1, 1, 2)]
