@@ -14,6 +14,18 @@ from caudal.plans.profile import OPEN_STATUSES, PRIORITY
 CREDIT_TYPES = ("Credit Card", "Personal Loan", "Mortgage")
 CASE_WINDOW_DAYS = CASHFLOW_WINDOW_DAYS = 90
 
+#: the columns of the clean tables that the three summaries read
+SUMMARY_READS: dict[str, tuple[str, ...]] = {
+    "products": ("customer_id", "product_type", "product_status", "currency", "current_balance", "credit_limit",
+                 "interest_rate", "days_past_due", "last_updated"),
+    "complaints": ("customer_id", "creation_date", "case_type", "claimed_amount", "currency", "priority", "status",
+                   "resolution_date", "sla_breached", "resolution_days", "compensation_granted",
+                   "resolution_satisfaction", "is_repeat_complainer"),
+    "transactions": ("customer_id", "transaction_date", "process_date", "transaction_type", "transaction_status",
+                     "amount", "currency", "amount_usd", "is_fraud"),
+    "daily_exchange_rates": ("source_currency", "target_currency", "date", "exchange_rate"),
+}
+
 
 def _per_customer(df: DataFrame, keep_null_key: bool):
     """Group by customer; rows without one form no group unless asked for."""

@@ -204,3 +204,19 @@ def test_gate_stores_metrics_before_it_stops(spark, tmp_path):
     assert stored.filter("run_id = 'bad'").count() == 7 and latest_run(stored, ["silver"]).first()["run_id"] == "bad"
     with pytest.raises(Exception, match="quality gate failed"):
         raise_on_failure(stored).collect()
+
+
+def test_gold_inputs_are_worked_out_once(spark, monkeypatch):
+    """Profile and summaries read stored tables; each raw table is cleaned once, and only what they read is stored."""
+    from testbed import queries
+
+    asked = []
+    plain = queries.bronze
+    monkeypatch.setattr(queries, "bronze", lambda s, sf, name: (asked.append(name), plain(s, sf, name))[1])
+    stored = queries.stored_inputs(spark, "/root/testdata/sf0.001")
+    assert sorted(asked) == sorted(queries.GOLD_INPUTS)
+    for name, df in stored.items():
+        assert "transactions" not in name or "latitude" not in df.columns
+        whole = queries.clean(spark, "/root/testdata/sf0.001", name).select(*df.columns)
+        assert df.count() == whole.count() and df.exceptAll(whole).isEmpty()
+        assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
