@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+REBALANCE_PARTS = 2000
+"""Parts into which rows are dealt by date before Spark joins small ones and splits large ones. With fewer, a part holds many
+dates, and each piece it is split into writes a file of every one of them; with more, Spark keeps only mean sizes of parts."""
+
 
 def rebuild(
     df: DataFrame,
@@ -18,7 +22,8 @@ def rebuild(
     """Replace the table at ``path``, schema included.
 
     With ``partition_by`` the rows are rebalanced by that column: few files per
-    folder, and a date that holds most of the rows is split over many tasks.
+    folder however large the table is, and a date that holds most of the rows is
+    split over many tasks.
     ``cluster_by`` sorts the table into ranges of those columns.
     ``watch`` are named aggregates of the written rows; they are counted in the tasks that write, so none is counted twice
     if a task is repeated, and returned.
@@ -27,7 +32,7 @@ def rebuild(
         layout = [c for c in (partition_by, *cluster_by) if c]
         df = df.repartitionByRange(*layout).sortWithinPartitions(*layout)
     elif partition_by:
-        df = df.hint("rebalance", partition_by)
+        df = df.hint("rebalance", REBALANCE_PARTS, partition_by)
     seen = Observation() if watch else None
     if seen:
         df = df.observe(seen, *watch)

@@ -11,6 +11,7 @@ from caudal.operators import sketches
 from caudal.operators.zorder import quantile_cuts, rank_among, rebuild_zordered, with_zorder
 from caudal.sinks import partitions
 from caudal.sinks.partitions import PartitionMismatch, forget, read_partitions, replace_partitions
+from caudal.sinks.tables import rebuild
 
 DAYS = [datetime.date(2024, 1, d) for d in range(1, 5)]
 
@@ -135,3 +136,18 @@ def test_large_tables_are_not_shuffled_to_be_read(spark, tmp_path, monkeypatch):
     assert "Exchange" in plan()
     monkeypatch.setattr(recast, "SPREAD_ROWS", 999)
     assert "Exchange" not in plan()
+
+
+def test_files_by_date_do_not_grow_with_the_table(spark, tmp_path):
+    rows = spark.range(0, 40_000, 1, 8).selectExpr(
+        "id", "date_add(date '2024-01-01', int(id % 40)) AS day", "sha2(string(id), 256) AS v")
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    kept = spark.conf.get(advisory)
+    spark.conf.set(advisory, "200k")  # a date is 80 kB, a quarter of the table 800 kB
+    try:
+        rebuild(rows, str(tmp_path / "t"), "day")
+    finally:
+        spark.conf.set(advisory, kept)
+    files = list((tmp_path / "t").rglob("*.parquet"))
+    assert len({f.parent for f in files}) == 40 and len(files) <= 44
+    assert spark.read.parquet(str(tmp_path / "t")).distinct().count() == 40_000
