@@ -26,6 +26,14 @@ SUMMARY_READS: dict[str, tuple[str, ...]] = {
     "daily_exchange_rates": ("source_currency", "target_currency", "date", "exchange_rate"),
 }
 
+#: the columns of the clean tables that the open cases read
+CASE_READS: dict[str, tuple[str, ...]] = {
+    "complaints": ("complaint_id", "customer_id", "creation_date", "reception_channel", "category", "case_type", "priority",
+                   "status", "sla_breached", "origin_interaction_id", "is_repeat_complainer"),
+    "call_center_interactions": ("interaction_id", "customer_id", "interaction_date", "channel", "reason_category",
+                                 "was_resolved", "requires_followup", "was_escalated", "detected_sentiment"),
+}
+
 
 def _per_customer(df: DataFrame, keep_null_key: bool):
     """Group by customer; rows without one form no group unless asked for."""

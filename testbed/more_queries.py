@@ -24,6 +24,7 @@ from caudal.plans.medallion import build_silver, build_summaries, refresh_policy
 from caudal.plans.offers import CARRY, accepted_offers, undeclared
 from caudal.plans.options import offer_options
 from caudal.plans.profile import credit_profile
+from caudal.plans.silver import silver
 from caudal.quality.contract import contract_columns, contract_metrics, contract_violations
 from caudal.quality.metrics import case_metrics, raw_counts
 from caudal.quality.gate import QualityGateError, record_and_gate
@@ -41,7 +42,7 @@ from caudal.streaming.stateful import read_versions, versions_stream
 from testbed.oracle import big, query, rnd
 from testbed.queries import (
     _EVENTS_SQL, _METRICS_SQL, _ORDER_COLUMNS, _RULES, _VERSIONS, _event_changes, _source_metrics, _stamped,
-    _versions, ORACLE, bronze, case, clean, gold_inputs, policy_of, profile_of, show, table,
+    _versions, ORACLE, bronze, case, clean, gold_inputs, policy_of, profile_of, show, stored_inputs, table,
 )
 
 # --- files by column name, on streams ----------------------------------------
@@ -392,13 +393,11 @@ def _(spark, sf):
 def _refreshed(spark: SparkSession, sf: str) -> str:
     """The folder of the export of a refresh for an earlier date."""
     base = scratch_path(spark, "refresh")
-    stored = gold_inputs(spark, sf)
-    for name, df in stored.items():
-        df.write.parquet(f"{base}/silver/{name}")
-    policy = policy_of(spark)
-    tables = {n: spark.read.parquet(f"{base}/silver/{n}") for n in stored}
-    build_summaries(spark, {**tables, "call_center_interactions": clean(spark, sf, "call_center_interactions")}, policy, base)
-    refresh_policy(spark, base, pol.policy_tables(spark), "2026-03-31", "r1", sources=list(stored))
+    tables = stored_inputs(spark, sf, f"{base}/silver", cases=True)
+    calls = "call_center_interactions"
+    interactions = silver(bronze(spark, sf, calls), calls, summaries.CASE_READS[calls])
+    build_summaries(spark, {**tables, calls: interactions}, policy_of(spark), base)
+    refresh_policy(spark, base, pol.policy_tables(spark), "2026-03-31", "r1", sources=list(tables))
     return f"{base}/exports"
 
 

@@ -80,11 +80,12 @@ def profile_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {e: silver(bronze(spark, sf, e), e, PROFILE_READS[e]) for e in GOLD_INPUTS}
 
 
-def stored_inputs(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The clean tables as profile and summaries read them, each worked out once and stored."""
-    base = scratch_path(spark, "clean")
+def stored_inputs(spark: SparkSession, sf: str, base: str = "", cases: bool = False) -> dict[str, DataFrame]:
+    """The clean tables as profile and summaries, and with ``cases`` the open cases, read them, each worked out once and stored."""
+    base = base or scratch_path(spark, "clean")
     for name in GOLD_INPUTS:
-        reads = sorted({*PROFILE_READS[name], *summaries.SUMMARY_READS.get(name, ())})
+        reads = sorted({*PROFILE_READS[name], *summaries.SUMMARY_READS.get(name, ()),
+                        *(summaries.CASE_READS.get(name, ()) if cases else ())})
         silver(bronze(spark, sf, name), name, reads).select(*reads).write.parquet(f"{base}/{name}")
     return {name: spark.read.parquet(f"{base}/{name}") for name in GOLD_INPUTS}
 

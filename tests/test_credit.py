@@ -220,3 +220,16 @@ def test_gold_inputs_are_worked_out_once(spark, monkeypatch):
         whole = queries.clean(spark, "/root/testdata/sf0.001", name).select(*df.columns)
         assert df.count() == whole.count() and df.exceptAll(whole).isEmpty()
         assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_refresh_stores_what_open_cases_read(spark, tmp_path, rows):
+    from caudal.plans import summaries
+    from testbed import queries
+
+    sf, base, calls = "/root/testdata/sf0.001", str(tmp_path / "silver"), "call_center_interactions"
+    stored = queries.stored_inputs(spark, sf, base, cases=True)
+    assert "fraud_score" not in spark.read.parquet(f"{base}/transactions").columns
+    policy, whole = queries.policy_of(spark), queries.clean(spark, sf, calls)
+    narrow = queries.silver(queries.bronze(spark, sf, calls), calls, summaries.CASE_READS[calls])
+    found = rows(summaries.case_context(stored["complaints"], narrow, policy))
+    assert found and found == rows(summaries.case_context(queries.clean(spark, sf, "complaints"), whole, policy))
