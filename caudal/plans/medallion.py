@@ -77,7 +77,7 @@ def build_silver(
     seen = {}
     for name, raw in bronze.items():
         spec = ENTITIES[name]
-        seen[name] = rebuild(silver(raw, name), f"{base}/silver/{name}", spec.partition_by, watch=clean_counts(spec))
+        seen[name] = rebuild(silver(raw, name, stored=True), f"{base}/silver/{name}", spec.partition_by, watch=clean_counts(spec))
     clean = _tables(spark, f"{base}/silver", list(bronze))
     raw_seen = {n: (counts or {}).get(n) or raw.agg(*raw_counts(ENTITIES[n])).first().asDict() for n, raw in bronze.items()}
     metrics = reduce(DataFrame.unionByName, (written_metrics(raw_seen[n], seen[n], clean[n], n) for n in bronze))

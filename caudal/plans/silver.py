@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caudal.contracts import ENTITIES
 from caudal.operators.cleanse import apply_cast_spec
-from caudal.operators.dedup import latest_by_key, not_null
+from caudal.operators.dedup import latest_by_key, latest_by_repeated_key, not_null
 
 
 def typed_rows(
@@ -32,9 +32,13 @@ def typed_rows(
     return typed if keyless else not_null(typed, spec.key)
 
 
-def silver(bronze: DataFrame, entity: str, wanted: Sequence[str] | None = None) -> DataFrame:
-    """The current row per business key; ``wanted`` as in ``latest_by_key``."""
+def silver(bronze: DataFrame, entity: str, wanted: Sequence[str] | None = None, stored: bool = False) -> DataFrame:
+    """The current row per business key; ``wanted`` as in ``latest_by_key``.
+
+    A ``stored`` raw table is cheap to read again: its keys are looked through first, and rows with a key of their own are not ranked.
+    """
     spec = ENTITIES[entity]
-    return latest_by_key(typed_rows(bronze, entity), spec.key, spec.latest_by, wanted).withColumn(
+    latest = latest_by_repeated_key if stored else latest_by_key
+    return latest(typed_rows(bronze, entity), spec.key, spec.latest_by, wanted).withColumn(
         "_silver_processed_at", F.current_timestamp()
     )

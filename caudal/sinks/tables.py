@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+from caudal.session import shuffles_freed
+
 REBALANCE_PARTS = 2000
 """Parts into which rows are dealt by date before Spark joins small ones and splits large ones. With fewer, a part holds many
 dates, and each piece it is split into writes a file of every one of them; with more, Spark keeps only mean sizes of parts."""
@@ -26,7 +28,8 @@ def rebuild(
     split over many tasks.
     ``cluster_by`` sorts the table into ranges of those columns.
     ``watch`` are named aggregates of the written rows; they are counted in the tasks that write, so none is counted twice
-    if a task is repeated, and returned.
+    if a task is repeated, and returned. What was shuffled for the table is deleted once it is written, so that tables written
+    one after the other take the disk of one.
     """
     if cluster_by:
         layout = [c for c in (partition_by, *cluster_by) if c]
@@ -37,7 +40,8 @@ def rebuild(
     if seen:
         df = df.observe(seen, *watch)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return seen.get if seen else None
 
 

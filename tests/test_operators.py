@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from caudal.operators import dedup
 from caudal.operators.dedup import content_duplicates, latest_by_key
 from caudal.operators.fx import convert_on_date, rates_as_of
 from caudal.operators.lookup import band_of, first_covering, require_policy_size
@@ -41,6 +42,23 @@ def test_latest_reduces_before_the_shuffle(skewed):
     assert "WindowGroupLimit" in above and "WindowGroupLimit" in below
 
 
+@pytest.mark.parametrize("most_words", [None, 1])
+def test_only_rows_whose_key_may_occur_again_are_ranked(spark, monkeypatch, most_words):
+    if most_words:  # too few bits: almost all are set, and rows are ranked needlessly
+        monkeypatch.setattr(dedup, "KEY_BITS", 1)
+        monkeypatch.setattr(dedup, "MOST_WORDS", most_words)
+    one = F.when(F.col("id") % 10 == 0, F.col("id") % 4000).otherwise(F.col("id"))
+    df = spark.range(100_000).select(F.when(F.col("id") % 99 != 1, F.concat(F.lit("k"), one)).alias("k"), F.lit(5).alias("g"),
+                                     (F.col("id") % 7).alias("t"), (F.col("id") % 3).alias("v"), F.col("id").alias("w"))
+    expected, ranked = latest_by_key(df, ["k", "g"], ["t"], wanted=["v"]), []
+    monkeypatch.setattr(dedup, "latest_by_key", lambda rows, *by: ranked.append(rows.count()) or latest_by_key(rows, *by))
+    found = dedup.latest_by_repeated_key(df, ["k", "g"], ["t"], ["v"])
+    assert found.columns == expected.columns and found.count() == expected.count()
+    assert found.exceptAll(expected).count() == expected.exceptAll(found).count() == 0
+    assert most_words or ranked[0] < 25_000
+    assert dedup.latest_by_repeated_key(df.limit(0), ["k", "g"], ["t"]).count() == 0
+
+
 def test_latest_leaves_out_what_can_decide_nothing(spark, rows):
     random.seed(4)
     data = [tuple(random.choice([None, 1, 2]) for _ in range(6)) for _ in range(600)]

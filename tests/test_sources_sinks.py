@@ -103,6 +103,16 @@ def test_rebuild_splits_a_hot_partition_and_keeps_the_others_small(spark, tmp_pa
     assert len(hot) > 1 and len(cold) <= 2
 
 
+def test_rebuild_leaves_no_shuffle_files(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    kept = lambda: sum(f.getName().startswith("shuffle_") for f in listed(disk.getAllFiles()))
+    before, free = kept(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rebuild(spark.range(1000).selectExpr("id", "id % 9 AS d").repartition(5), str(tmp_path / "t"), "d")
+    assert kept() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == free
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000
+
+
 def test_rebuild_clusters(spark, tmp_path, rows):
     rebuild(spark.range(1000).select("id", (-F.col("id")).alias("x")), str(tmp_path / "t"), cluster_by=["x"])
     back = spark.read.parquet(str(tmp_path / "t")).groupBy(F.spark_partition_id()).agg(F.min("x"), F.max("x"))
